@@ -37,7 +37,7 @@ def connected(edges: DataFrame) -> DataFrame:
     mark, now = None, staged(edges.select("a", "b").where("a <> b").distinct(), "links")
     for _ in range(MAX_ROUNDS):
         now = staged(_small_star(_large_star(now)), "links")
-        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum("b")).first())
+        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
         if seen == mark:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         mark = seen
