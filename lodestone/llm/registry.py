@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality, sharding, simhash
 
 _QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_sharding": sharding.query,
+    "op7_quality": quality.query,
 }
 _SQL: dict[str, str] = {}
 
