@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, simhash
+from . import bytebpe, quality, sharding, simhash
 
 _QUERIES = {
     "op1_simhash": simhash.query,
     "op2_sharding": sharding.query,
     "op7_quality": quality.query,
+    "op8_bytebpe": bytebpe.query,
 }
 _SQL: dict[str, str] = {}
 
