@@ -26,6 +26,7 @@ _L, _N = _category("L"), _category("N")
 #: Fixed value: the contractions that come first in both patterns.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_BPE = re.compile(f"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^{_SPACE}{_L}{_N}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+SPACES = re.compile(f"[{_SPACE}]+")
 WORD_BPE = re.compile(f"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^{_SPACE}{_L}{_N}]+")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bytebpe, quality, sharding, simhash
+from . import bytebpe, quality, sharding, simhash, tokencount, tokenio
 
 _QUERIES = {
     "op1_simhash": simhash.query,
     "op2_sharding": sharding.query,
+    "op3_tokencount": tokencount.query,
+    "op5_tokenio": tokenio.query,
     "op7_quality": quality.query,
     "op8_bytebpe": bytebpe.query,
 }
