@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import bytebpe, quality, sharding, simhash, tokencount, tokenio
+from . import bytebpe, chat, quality, sharding, simhash, tokencount, tokenio
 
 _QUERIES = {
     "op1_simhash": simhash.query,
     "op2_sharding": sharding.query,
     "op3_tokencount": tokencount.query,
     "op5_tokenio": tokenio.query,
+    "op6_chat": chat.query,
     "op7_quality": quality.query,
     "op8_bytebpe": bytebpe.query,
 }
-_SQL: dict[str, str] = {}
+_SQL = {
+    "op6_chat": chat.SQL,
+}
 
 
 def queries() -> dict:
