@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, chat, quality, sharding, simhash, tokencount, tokenio
+from . import bytebpe, chat, quality, sharding, simhash, tokencount, tokenio, warc
 
 _QUERIES = {
     "op1_simhash": simhash.query,
@@ -12,9 +12,11 @@ _QUERIES = {
     "op6_chat": chat.query,
     "op7_quality": quality.query,
     "op8_bytebpe": bytebpe.query,
+    "op9_warc": warc.query,
 }
 _SQL = {
     "op6_chat": chat.SQL,
+    "op9_warc": warc.SQL,
 }
 
 
