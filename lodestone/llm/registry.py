@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, chat, quality, sharding, simhash, tokencount, tokenio, warc
+from . import bytebpe, chat, langid, quality, sharding, simhash, tokencount, tokenio, warc
 
 _QUERIES = {
     "op1_simhash": simhash.query,
@@ -13,6 +13,7 @@ _QUERIES = {
     "op7_quality": quality.query,
     "op8_bytebpe": bytebpe.query,
     "op9_warc": warc.query,
+    "op10_langid": langid.query,
 }
 _SQL = {
     "op6_chat": chat.SQL,
