@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bytebpe, chat, langid, quality, sharding, simhash, tokencount, tokenio, warc
+from . import bytebpe, chat, decontaminate, langid, quality, sharding, simhash, tokencount, tokenio, warc
 
 _QUERIES = {
     "op1_simhash": simhash.query,
     "op2_sharding": sharding.query,
     "op3_tokencount": tokencount.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_tokenio": tokenio.query,
     "op6_chat": chat.query,
     "op7_quality": quality.query,
