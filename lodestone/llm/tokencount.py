@@ -56,8 +56,8 @@ def count_tokens(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
 
     Contents are digested, digests joined to what the cache has for this tokenizer, one row of each distinct miss is
     encoded and its count appended; then every row takes its count from the cache. A null text counts as empty. Copies
-    cost one encoding however many they are, and only digests of them are shuffled. Of texts only the first row of each
-    missing content travels, by id. Ids that are null or repeat may bring a few more rows to encode and change no
+    cost one encoding however many they are, and only digests of them are shuffled. Texts travel once, by id, to
+    meet the first id of each missing content, by a merge join at every size. Ids that are null or repeat may bring a few more rows to encode and change no
     count. Appending is one committed write; a job that dies before it leaves the cache as it was. Two writers may both
     append a content: their counts are equal and reading takes one.
     """
@@ -71,7 +71,7 @@ def count_tokens(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
         return open_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     missing = keyed.groupBy("digest").agg(F.min("id").alias("first_id")).join(stored(), "digest", "left_anti")
-    chosen = rows.join(missing.select("first_id").distinct(), F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    chosen = rows.join(missing.select("first_id").distinct().hint("merge"), F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
     counted = chosen.select("text").mapInArrow(_counts(tokenizer), "digest binary, n_tokens long")
     counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).join(missing.select("digest"), "digest", "left_semi")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
