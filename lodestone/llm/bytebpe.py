@@ -132,23 +132,31 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
     return rows.mapInArrow(_encode_batches(ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _id_batches(ranks_name: str):
+def _table_batches(ranks_name: str):
     def run(batches):
-        pieces = Pieces(Encoder(load_ranks(ranks_name)).packed)
+        encoder = Encoder(load_ranks(ranks_name))
+        pieces = Pieces(encoder.packed)
         for batch in batches:
             for part in slices(batch, "__text"):
-                ids = [np.frombuffer(b"".join(map(pieces.__getitem__, pieces_of(text or ""))), "<u4").astype(np.int32) for text in part.column("__text").to_pylist()]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*part.schema.names[:-1], "token_ids"])
+                packed = [b"".join(map(pieces.__getitem__, pieces_of(t or ""))) for t in part.column("__text").to_pylist()]
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
+                id_digests = [hashlib.sha256(p).hexdigest() for p in packed]
+                text_digests = [hashlib.sha256(encoder.decode(np.frombuffer(p, "<u4").tolist())).hexdigest() for p in packed]
+                made = [pa.array(np.diff(ends)), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string()), ids]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*part.schema.names[:-1], *_MADE])
 
     return run
 
 
+_MADE = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "token_ids": "array<int>"}
+
+
 def with_ids(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFrame:
-    """``docs`` with its token ids in a further (or replaced) column token_ids, array<int>; null text: no ids."""
-    rows = docs.drop("token_ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(_id_batches(ranks), f"{schema}, token_ids array<int>")
+    """``docs`` with further (or replaced) columns n_tokens, ids_sha256, decoded_sha256 and token_ids; null text: no ids."""
+    rows = docs.drop(*_MADE)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{n} {t}" for n, t in _MADE.items())])
+    return rows.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(_table_batches(ranks), schema)
 
 
 def decoded(rows: DataFrame, ids_col: str = "token_ids", ranks: str = RANKS) -> DataFrame:
