@@ -75,7 +75,8 @@ def count_tokens(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
     counted = chosen.select("text").mapInArrow(_counts(tokenizer), "digest binary, n_tokens long")
     counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).join(missing.select("digest"), "digest", "left_semi")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    return keyed.join(stored(), "digest").select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    known = staged(stored().join(keyed.select("digest").distinct(), "digest", "left_semi"), "counts")
+    return keyed.join(known, "digest").select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
