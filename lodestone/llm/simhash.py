@@ -118,10 +118,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that repeat that id the one with the smallest text stays; of a component of null ids one row stays.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay_id")).distinct()
+    # the join and the window are dealt by the same two columns: the texts are shuffled once
+    key = lambda c: {"__key": F.coalesce(F.col(c).cast("long"), F.lit(0)), "__none": F.col(c).isNull()}
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumns(key("doc_id")).select("__key", "__none").distinct()
     names = docs.columns
-    rows = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")), "left_semi")
-    first = F.row_number().over(W.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first()))
+    rows = docs.withColumns(key(id_col)).join(stay.hint("merge"), ["__key", "__none"], "left_semi")
+    first = F.row_number().over(W.partitionBy("__key", "__none").orderBy(F.col(text_col).asc_nulls_first()))
     return rows.withColumn("__nth", first).where("__nth = 1").select(*names)
 
 
