@@ -1 +1 @@
-
+"""Scalar functions and their column forms."""
