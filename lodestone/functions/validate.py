@@ -41,6 +41,19 @@ def canonical(value) -> str:
     return json.dumps(plain(value), separators=(",", ":"), ensure_ascii=False)
 
 
+_ALLOWED: dict[int, tuple[list, frozenset]] = {}
+
+
+def _allowed(values: list) -> frozenset:
+    """The canonical forms of an enum, kept for the list that it was asked for last."""
+    kept = _ALLOWED.get(id(values))
+    if kept is None or kept[0] is not values:
+        if len(_ALLOWED) > 256:
+            _ALLOWED.clear()
+        kept = _ALLOWED[id(values)] = (values, frozenset(map(canonical, values)))
+    return kept[1]
+
+
 def _errors(schema: dict, value, path: str):
     kinds = schema.get("type")
     if kinds is not None:
@@ -48,7 +61,7 @@ def _errors(schema: dict, value, path: str):
         if not any(matches_type(value, k) for k in kinds):
             yield path, f"expected type {' | '.join(kinds)}, got {type_of(value)}"
             return  # nothing below a wrong type is worth saying
-    if schema.get("enum") is not None and canonical(value) not in map(canonical, schema["enum"]):
+    if schema.get("enum") is not None and canonical(value) not in _allowed(schema["enum"]):
         yield path, "value is not one of the allowed enum values"
     if isinstance(value, dict):
         declared = schema.get("properties") or {}

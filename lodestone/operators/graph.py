@@ -68,6 +68,11 @@ class CodeGraph:
     def edges(self) -> DataFrame:
         return self._edges
 
+    def staged(self, edge_kinds: list[str] | None = None) -> CodeGraph:
+        """The graph (or its edges of some kinds) written once, for walks that go over its edges again and again."""
+        edges = self._edges if edge_kinds is None else self._edges.where(F.col("kind").isin(list(edge_kinds)))
+        return CodeGraph(staged(self.raw_nodes, "nodes"), staged(edges, "edges"), self.unique_ids)
+
     def files(self) -> DataFrame:
         return self._by_id.where("kind = 'file'")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +40,15 @@ def _kernel(n: int, src: np.ndarray, dst: np.ndarray, teleport: np.ndarray, iter
 
 
 def _small(nodes: DataFrame, links: DataFrame, seeds: DataFrame, iterations: int, tolerance: float) -> DataFrame:
-    ids = np.array(nodes.toArrow()["id"].to_pylist(), dtype=object)
-    at = {x: k for k, x in enumerate(ids)}
+    ids = nodes.toArrow()["id"].combine_chunks()
     table = links.toArrow()
-    src, dst = (np.fromiter(map(at.__getitem__, table[c].to_pylist()), np.int64, table.num_rows) for c in ("src", "dst"))
+    src, dst = (pc.index_in(table[c], value_set=ids).to_numpy().astype(np.int64) for c in ("src", "dst"))
+    chosen = pc.drop_null(pc.index_in(seeds.toArrow()["id"], value_set=ids)).to_numpy()
     teleport = np.zeros(len(ids))
-    teleport[[at[r.id] for r in seeds.collect() if r.id in at]] = 1
-    teleport = teleport / teleport.sum() if teleport.any() else np.full(len(ids), 1 / len(ids))
+    teleport[chosen] = 1
+    teleport = teleport / teleport.sum() if len(chosen) else np.full(len(ids), 1 / len(ids))
     rank = _kernel(len(ids), src, dst, teleport, iterations, tolerance)
-    import pyarrow as pa
-
-    return nodes.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.string()), "score": rank}), "id string, score double")
+    return nodes.sparkSession.createDataFrame(pa.table({"id": ids, "score": rank}), "id string, score double")
 
 
 def _large(nodes: DataFrame, links: DataFrame, seeds: DataFrame, n: int, iterations: int, tolerance: float) -> DataFrame:

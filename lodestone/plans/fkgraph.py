@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.graph import CodeGraph, aggregate_calls
+from lodestone.operators.graph import CodeGraph
 
 #: Distance between the ord of one group of rows and the next, and between rows of one order.
 GROUP, PAIR = 10**15, 10**6
@@ -59,14 +59,19 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     confidence = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 0.8).otherwise(0.5)
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("dst"), confidence.alias("confidence"),
-        (F.col("l_linestatus") == "O").alias("is_new"), F.col("l_linenumber").alias("line"), F.lit(None).cast("string").alias("receiver_type"), (F.lit(6 * GROUP) + F.col("l_orderkey") * PAIR + F.col("l_suppkey")).cast("long").alias("ord"),
+        "l_orderkey", "l_suppkey", (F.col("l_linestatus") == "O").alias("is_new"), F.col("l_linenumber").alias("line"), F.lit(None).cast("string").alias("receiver_type"), (F.lit(6 * GROUP) + F.col("l_orderkey") * PAIR + F.col("l_suppkey")).cast("long").alias("ord"),
     )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda group, *keys: F.lit(group * GROUP) + sum((F.col(k) * PAIR ** (len(keys) - 1 - i) for i, k in enumerate(keys)), F.lit(0))
     references = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    calls = aggregate_calls(call_sites(spark, sf_dir)).withColumn("kind", F.lit("calls"))
+    # aggregated by the numeric keys, which hash aggregation takes; ids are spelt out afterwards
+    sites = call_sites(spark, sf_dir).groupBy("l_orderkey", "l_suppkey").agg(F.max("confidence").alias("confidence"), F.max("is_new").alias("is_new"), F.count("*").alias("call_count"), F.min("line").alias("line"), F.min("ord").alias("ord"))
+    calls = sites.select(
+        F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("dst"), F.lit("calls").alias("kind"), "confidence",
+        F.when(F.col("is_new"), "new").otherwise("call").alias("call_kind"), F.lit(None).cast("string").alias("receiver_type"), "call_count", "line", "ord",
+    )
     parts = [
         table(spark, sf_dir, "nation").select(_edge(("r:", "n_regionkey"), ("n:", "n_nationkey"), "contains", at(0, "n_nationkey"))),
         table(spark, sf_dir, "customer").select(_edge(("n:", "c_nationkey"), ("c:", "c_custkey"), "contains", at(1, "c_custkey"))),
@@ -77,7 +82,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "supplier").select(_edge(("s:", "s_suppkey"), ("n:", "s_nationkey"), "calls", at(7, "s_suppkey"), 1.0)),
         table(spark, sf_dir, "nation").select(_edge(("n:", "n_nationkey"), ("r:", "n_regionkey"), "calls", at(8, "n_nationkey"), 0.8)),
     ]
-    out = calls.select(parts[0].columns)
+    out = calls
     for more in parts:
         out = out.unionByName(more)
     return out

@@ -124,33 +124,33 @@ _ALL = 10**9
 
 @register("impact_callers", f"{impact_sql('r:0', 'dst', 'src', 5)} SELECT id, depth, confidence FROM reached")
 def _impact_callers(spark, sf_dir):
-    return graph(spark, sf_dir).impact("r:0", max_nodes=_ALL).rows.select("id", "depth", "confidence")
+    return graph(spark, sf_dir).staged(["calls"]).impact("r:0", max_nodes=_ALL).rows.select("id", "depth", "confidence")
 
 
 @register("impact_callees", f"{impact_sql('o:42', 'src', 'dst', 5)} SELECT id, depth, confidence FROM reached")
 def _impact_callees(spark, sf_dir):
-    return graph(spark, sf_dir).impact("o:42", "callees", max_nodes=_ALL).rows.select("id", "depth", "confidence")
+    return graph(spark, sf_dir).staged(["calls"]).impact("o:42", "callees", max_nodes=_ALL).rows.select("id", "depth", "confidence")
 
 
 @register("impact_min_confidence", f"{impact_sql('n:2', 'dst', 'src', 5, 0.8)} SELECT id, depth, confidence FROM reached")
 def _impact_min_confidence(spark, sf_dir):
-    return graph(spark, sf_dir).impact("n:2", max_nodes=_ALL, min_confidence=0.8).rows.select("id", "depth", "confidence")
+    return graph(spark, sf_dir).staged(["calls"]).impact("n:2", max_nodes=_ALL, min_confidence=0.8).rows.select("id", "depth", "confidence")
 
 
 @register("impact_truncated", f"{impact_sql('r:0', 'dst', 'src', 5)} SELECT id, depth, confidence FROM reached ORDER BY depth, confidence DESC, id LIMIT 200")
 def _impact_truncated(spark, sf_dir):
-    return graph(spark, sf_dir).impact("r:0").rows.select("id", "depth", "confidence")
+    return graph(spark, sf_dir).staged(["calls"]).impact("r:0").rows.select("id", "depth", "confidence")
 
 
 @register("impact_grouped", f"{impact_sql('o:42', 'src', 'dst', 5)} SELECT depth, string_agg(id || '=' || confidence, ',' ORDER BY confidence DESC, id) AS nodes FROM reached GROUP BY depth")
 def _impact_grouped(spark, sf_dir):
-    groups = graph(spark, sf_dir).impact("o:42", "callees").groups()
+    groups = graph(spark, sf_dir).staged(["calls"]).impact("o:42", "callees").groups()
     return groups.select("depth", F.array_join(F.transform("nodes", lambda n: F.concat(n["id"], F.lit("="), n["confidence"].cast("string"))), ",").alias("nodes"))
 
 
 @register("affected", f"{impact_sql('n:2', 'dst', 'src', 5)} SELECT r.id, depth, round(confidence, 2) AS confidence, n.path FROM reached r JOIN nodes n USING (id) WHERE regexp_matches(lower(n.path), '(\\.test\\.|\\.spec\\.|_test\\.|_spec\\.|/tests?/|/__tests__/)')")
 def _affected(spark, sf_dir):
-    found = graph(spark, sf_dir).affected("n:2", max_nodes=_ALL)
+    found = graph(spark, sf_dir).staged(["calls"]).affected("n:2", max_nodes=_ALL)
     return found.select("id", "depth", F.round("confidence", 2).alias("confidence"), "path")
 
 

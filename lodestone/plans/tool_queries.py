@@ -146,7 +146,7 @@ def _context_slice(spark, sf_dir):
 
 
 def _runtime(spark, sf_dir) -> Runtime:
-    return Runtime(collect_tools([graph_capability(graph(spark, sf_dir))]), spark=spark)
+    return Runtime(collect_tools([graph_capability(lambda: graph(spark, sf_dir))]), spark=spark)
 
 
 @register("tool_callers", f"{impact_sql('s:3', 'dst', 'src', 1)} SELECT id, name, path AS file, depth, round(confidence, 2) AS confidence FROM reached JOIN nodes USING (id) ORDER BY reached.confidence DESC, id LIMIT 25")
