@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.staging import file_system
+
 from .common import new_path, slices, staged
 from .pretrained import Pretrained, version_digest
 
@@ -44,9 +46,8 @@ def _counts(name: str):
 
 def open_cache(spark, path: str) -> DataFrame:
     """The cache at ``path``, an empty one where there is none yet."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+    target, files = file_system(spark, path)
+    if not files.exists(target):
         return spark.createDataFrame([], CACHE_SCHEMA)
     return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
