@@ -16,7 +16,7 @@ _CONTROL = {
     "javascript": _SCRIPT_WORDS,
     "typescript": _SCRIPT_WORDS,
     "tsx": _SCRIPT_WORDS,
-    "go": _SHARED | {"func", "go", "defer", "select", "range", "var"},
+    "go": _SHARED | {"func", "go", "defer", "select", "range", "var", "type", "import", "struct", "interface", "map", "chan"},
     "rust": _SHARED | {"match", "loop", "fn", "where", "let", "ref", "mut", "move", "await", "pub"},
     "java": _SHARED | {"catch", "synchronized", "try", "super", "this", "throw", "assert", "instanceof"},
     "csharp": _SHARED | {"catch", "foreach", "lock", "using", "fixed", "nameof", "sizeof", "typeof", "checked", "unchecked", "when", "await", "throw", "is", "and", "or", "not", "var", "base", "this", "stackalloc", "async"},
@@ -94,6 +94,10 @@ class _Reader:
             elif new and self.t.text(k) == "new" and self.t.word(k + 1) and self.t.text(k - 1) not in (".", "?."):
                 self._new(k + 1)
                 self.declared.add(k + 1)
+                j = k + 1
+                while self.t.text(j + 1) in (".", "::") and self.t.word(j + 2):
+                    j += 2
+                    self.declared.add(j)
             elif self.t.word(k) and k not in self.declared and self._called(k, type_arguments):
                 before, t = self.t.text(k - 1), self.t[k]
                 if before in dots:
@@ -151,7 +155,9 @@ class _Script(_Reader):
                     self.define(4 if first < k else 2, k + 1, "class", first, self.block_end(k + 2))
             elif self.language != "javascript" and t.word(k + 1) and self.statement(k if t.text(k - 1) != "const" else k - 1):
                 if word == "interface":
-                    self.define(5, k + 1, "interface", k, self.block_end(k + 2))
+                    last = self.block_end(k + 2)
+                    self.define(5, k + 1, "interface", k, last)
+                    self.declared.update(j for j in range(k + 2, last) if t.word(j) and t.text(j + 1) in ("(", "<"))
                 elif word == "enum":
                     self.define(7, k + 1, "enum", k - 1 if t.text(k - 1) == "const" else k, self.block_end(k + 2))
                 elif word == "type" and (t.text(k + 2) in ("=", "<")):
@@ -189,6 +195,8 @@ class _Script(_Reader):
             mark = self.t.text(k) if self.t[k].kind == "mark" else ""
             if mark in ("(", "[", "{"):
                 k = self.t.close(k)
+            elif mark == "<" and self.language != "javascript" and (end := self.angle_end(k)) > k and self.t.text(end) in ("(", ";", ")", ",", "=", "{", "["):
+                k = end - 1
             elif mark in (";", ",", ")", "]", "}"):
                 return k - 1
             elif k > start and self.t[k].line > self.line_at(k - 1) and self.t[k].kind != "mark" and self.t.text(k - 1) not in ("=", "=>", "|", "&", "+", "-", "*", "/", "?", ":", "&&", "||", "??", "(", "<", ".", "?."):
@@ -273,6 +281,8 @@ class _Script(_Reader):
             while depth_end < len(t) and t.text(depth_end) not in (";", "}", ","):
                 if t.text(depth_end) == "{" and t.text(depth_end - 1) not in (":", "|", "&", "<", ",", "=>", "("):
                     break
+                if t[depth_end].kind == "word" and t[depth_end].line > self.line_at(depth_end - 1) and t.text(depth_end - 1) not in (":", "|", "&", "<", ",", "=>"):
+                    break
                 depth_end = t.close(depth_end) + 1 if t.text(depth_end) in ("(", "[", "{") else depth_end + 1
             at = depth_end
         if t.text(at) != "{":
@@ -359,6 +369,8 @@ class _Go(_Reader):
         t = self.t
         for k in range(len(t)):
             word = t.text(k) if t.word(k) else ""
+            if word == "interface" and t.text(k + 1) == "{":
+                self.declared.update(j for j in range(k + 2, t.close(k + 1)) if t.word(j) and t.text(j + 1) == "(")
             if word == "func":
                 method = t.text(k + 1) == "("
                 name = t.close(k + 1) + 1 if method else k + 1
@@ -445,7 +457,7 @@ class _Classed(_Reader):
     def read(self) -> None:
         self.types()
         self.uses()
-        self.calls((".", "?.", "->"))
+        self.calls((".",) if self.language == "java" else (".", "?.", "->"))
 
     def types(self) -> None:
         t, cs = self.t, self.language == "csharp"
@@ -485,10 +497,16 @@ class _Classed(_Reader):
     def body_members(self, open_at: int, owner: str, is_enum: bool) -> None:
         t, close_at = self.t, self.t.close(open_at)
         k = first = open_at + 1
+        if is_enum:  # constants with arguments
+            while k < close_at and t.text(k) != ";":
+                if t.word(k) and t.text(k + 1) == "(":
+                    self.declared.add(k)
+                k = t.close(k) + 1 if t.text(k) in ("(", "{", "[") else k + 1
+            k = first = min(k, close_at)
         while k < close_at:
             mark = t.text(k) if t[k].kind == "mark" else ""
             if mark == "(" and t.word(k - 1) and not (t.text(k - 2) == "@" or t.text(first) == "@" and k - 1 == first + 1):
-                k = first = self.member(first, k, close_at, owner, is_enum)
+                k = first = self.member(first, k - 1, k, close_at, owner)
             elif mark == "(":
                 k = t.close(k) + 1
                 first = k if t.text(first) == "@" else first
@@ -512,7 +530,11 @@ class _Classed(_Reader):
             elif mark == ";":
                 k = first = k + 1
             elif mark == "<":
-                k = max(self.angle_end(k), k + 1)
+                end = max(self.angle_end(k), k + 1)
+                if t.text(end) == "(" and t.word(k - 1) and k - 1 > first:
+                    k = first = self.member(first, k - 1, end, close_at, owner)
+                else:
+                    k = end
             else:
                 k += 1
 
@@ -524,9 +546,9 @@ class _Classed(_Reader):
             k = self.t.close(k) + 1 if self.t.text(k) in ("(", "[", "{") else k + 1
         return min(k, close_at - 1)
 
-    def member(self, first: int, open_at: int, close_at: int, owner: str, is_enum: bool) -> int:
+    def member(self, first: int, name: int, open_at: int, close_at: int, owner: str) -> int:
         """A method or constructor whose parameters begin at ``open_at``; the place behind it."""
-        t, name, at = self.t, open_at - 1, self.t.close(open_at) + 1
+        t, at = self.t, self.t.close(open_at) + 1
         if self.is_type(first, name):
             at = self.body(at)
             return (t.close(at) if t.text(at) == "{" else at) + 1
