@@ -213,7 +213,8 @@ def graph_of(files: DataFrame) -> CodeGraph:
     """The graph of ``files(file_no, path, language, facts)``.
 
     Contains edges are one a definition; the others are distinct by (kind, src, dst) without self-loops, each at the
-    place of its first cause.
+    place of its first cause. Definitions, references and imports are written; nodes and edges are plans over them
+    (``CodeGraph.staged`` writes those too).
     """
     spark = files.sparkSession
     family = languages_table(spark).select("language", "family").distinct()
@@ -241,4 +242,4 @@ def graph_of(files: DataFrame) -> CodeGraph:
     referred = named.select("src", "dst", (F.lit(_PHASE) + place + F.lit(_FILE // 2) + F.col("nth")).alias("ord"))
     calls = aggregate_calls(resolve_calls(defs, refs, imports)).withColumn("kind", F.lit("calls"))
     edges = plain(contains, "contains").unionByName(plain(once(imported), "imports")).unionByName(plain(once(referred), "references")).unionByName(calls)
-    return CodeGraph(staged(file_nodes.unionByName(symbols), "nodes"), staged(edges, "edges"))
+    return CodeGraph(file_nodes.unionByName(symbols), edges)

@@ -196,7 +196,7 @@ def build_code_graph(
     reused = untouched.join(known.drop("language"), "path").select("file_no", *_FILE_COLUMNS)
     gone = known.select("path").join(listing.select("path"), "path", "left_anti")
     put = new.unionByName(refreshed)
-    graph = graph_of(staged(put.unionByName(reused).select("file_no", "path", "language", "facts"), "facts"))
+    graph = graph_of(staged(put.unionByName(reused).select("file_no", "path", "language", "facts"), "facts")).staged()
     stats = BuildStats(listing.count(), n := new.count(), listing.count() - n, gone.count() if warm else 0)
     if store is not None:
         store.commit(meta, staged(put.select(_FILE_COLUMNS), "put"), staged(gone, "gone") if warm else None, not warm, graph if persist_graph else None)

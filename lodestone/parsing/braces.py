@@ -11,6 +11,8 @@ _SIMPLE = re.compile(r"[A-Za-z_$][\w$]*")
 
 #: Words that a bracket may follow without a call being made.
 _SHARED = {"if", "for", "while", "switch", "return", "else", "do", "case", "default", "new", "in", "as", "const"}
+#: Words that a bracket and a block follow without a method being meant.
+_BLOCKS = {"if", "for", "while", "switch", "catch", "function", "with"}
 _SCRIPT_WORDS = _SHARED | {"catch", "typeof", "await", "function", "with", "super", "import", "of", "delete", "void", "throw", "yield", "async", "instanceof", "var", "let", "this"}
 _CONTROL = {
     "javascript": _SCRIPT_WORDS,
@@ -266,7 +268,7 @@ class _Script(_Reader):
         for k in range(len(t)):
             if t.word(k) and k not in self.declared and t.text(k - 1) not in (".", "?.", "function", "new", "=>"):
                 after = self.angle_end(k + 1) if self.language != "javascript" else k + 1
-                if t.text(after) == "(" and t[k].text not in self.control:
+                if t.text(after) == "(" and t[k].text not in _BLOCKS:
                     self.method(k, after)
         for open_at, close_at in self.class_bodies.items():
             k = open_at + 1
