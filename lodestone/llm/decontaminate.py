@@ -34,8 +34,8 @@ BLOCK = 2
 CELLS = 1 << 22
 #: What an item's optional terms may sum up to, of its threshold.
 SPARE = 0.5
-#: Words of one index part; a larger benchmark is indexed in several parts, one after another.
-PART_WORDS = 4_000_000
+#: Words of one index part, about 40 bytes each; a larger benchmark is indexed in several parts, one after another.
+PART_WORDS = 2_000_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 #: Some of what _EDGE takes away, tried first.
@@ -62,12 +62,13 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
 
 @dataclass
 class Index:
-    """Arrays of one index part. Terms are numbered; ``words`` has each item's terms in order, for verification."""
+    """Arrays of one index part. Terms and items are numbered."""
 
     item_ids: list
     terms: dict[str, int]
-    words: list[list[int]]
-    n_question: list[int]
+    word_at: np.ndarray  # item -> its words in order, as terms
+    word_term: np.ndarray
+    n_question: np.ndarray
     #: By pivot postings only: term -> its entries, one for each block, with the largest impact there.
     pivot_at: np.ndarray
     pivot_block: np.ndarray
@@ -101,14 +102,17 @@ class Index:
         first = np.flatnonzero(np.diff(entry, prepend=-1))
         ends = np.arange(len(terms) + 1)
         return cls(
-            [i for i, *_ in items], terms, words, [len(q) for _, q, _ in items],
+            [i for i, *_ in items], terms, np.cumsum([0, *map(len, words)]), np.fromiter((t for row in words for t in row), np.int32), np.array([len(q) for _, q, _ in items]),
             np.searchsorted(entry[first] // len(items), ends), entry[first] % len(items), np.maximum.reduceat(largest, first),
             np.searchsorted(item, np.arange(len(items) + 1)), term, impact,
         )
 
+    def words(self, item: int) -> list[int]:
+        return self.word_term[self.word_at[item] : self.word_at[item + 1]].tolist()
+
     def search(self, window: np.ndarray, term: np.ndarray, n_windows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, score) of all scores of 1 or more; ``window``, ``term``: which terms a window has, repeats allowed."""
-        blocks = -(-len(self.words) // BLOCK)
+        blocks = -(-len(self.item_ids) // BLOCK)
         pivots = np.flatnonzero(np.diff(self.pivot_at)[term] > 0)
         near, step = window[pivots], max(1, CELLS // blocks)
         live = [np.zeros(0, np.int64)]
@@ -124,7 +128,7 @@ class Index:
         has[live // blocks] = True
         own = np.unique(window[stay := has[window]] * np.int64(len(self.terms)) + term[stay])
         # score by items: each of a live block looks its own terms up among those of the window
-        item, source = _ranges(live % blocks * BLOCK, np.minimum((live % blocks + 1) * BLOCK, len(self.words)))
+        item, source = _ranges(live % blocks * BLOCK, np.minimum((live % blocks + 1) * BLOCK, len(self.item_ids)))
         held, pair = _ranges(self.item_at[item], self.item_at[item + 1])
         key = (live // blocks)[source][pair] * len(self.terms) + self.item_term[held]
         there = own[np.minimum(np.searchsorted(own, key), max(len(own) - 1, 0))] == key if len(own) else np.zeros(0, bool)
@@ -135,7 +139,7 @@ class Index:
     def verify(self, item: int, document: set[tuple]) -> tuple[float, float, float]:
         """Shares of the item's shingles in ``document`` (its tuples of terms), and of the question's and answer's words
         that those cover."""
-        row, nq = self.words[item], self.n_question[item]
+        row, nq = self.words(item), self.n_question[item]
         width = min(SHINGLE, len(row))
         hits = [tuple(row[k : k + width]) in document for k in range(len(row) - width + 1)]
         covered = [any(hits[max(0, p - width + 1) : p + 1]) for p in range(len(row))]
@@ -181,16 +185,16 @@ class Searcher:
         window, item, score = index.search(window, term, n)
         if not len(window):
             return found
-        pair, place = np.unique(row_of[window] * np.int64(len(index.words)) + item, return_inverse=True)
+        pair, place = np.unique(row_of[window] * np.int64(len(index.item_ids)) + item, return_inverse=True)
         best = np.zeros(len(pair))
         np.maximum.at(best, place, score)
         last, grams = -1, set()
         for key, share in zip(pair.tolist(), best.tolist()):
-            r, i = divmod(key, len(index.words))
+            r, i = divmod(key, len(index.item_ids))
             if r != last:
                 own = numbers[start[r] : start[r] + counts[r]].tolist()
                 last, grams, own_words = r, set(zip(*(own[k:] for k in range(SHINGLE)))), own
-            width = min(SHINGLE, len(index.words[i]))
+            width = min(SHINGLE, len(index.words(i)))
             shingles, question, answer = index.verify(i, grams if width == SHINGLE else set(zip(*(own_words[k:] for k in range(width)))))
             if shingles >= LEAST_SHINGLES and question >= LEAST_QUESTION and answer >= LEAST_ANSWER:
                 found.append((r, index.item_ids[i], share, shingles, question, answer))
@@ -206,8 +210,8 @@ def _split_items(batches):
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", part_words: int = PART_WORDS) -> list[Index]:
     """The index in parts of about ``part_words`` words each, dealt by a hash of the id; statistics cover all items.
 
-    A benchmark is small beside a corpus; one part holds tens of thousands of items, and that bound is what is sent to
-    the executors at a time. An item without words is not indexed.
+    A benchmark is small beside a corpus; one part holds tens of thousands of items, and that bound, some 80 MB, is
+    what is sent to the executors at a time. An item without words is not indexed.
     """
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = staged(rows.mapInArrow(_split_items, "id long, question array<string>, answer array<string>").where("size(question) + size(answer) > 0"), "items")
