@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.staging import staged
+from lodestone.staging import discard, staged
 
 DAMPING, ITERATIONS, TOLERANCE, LIMIT = 0.85, 50, 1e-6, 20
 #: Links up to which the ranks are computed in one numpy kernel: 16 bytes each, 64 MB.
@@ -59,7 +59,7 @@ def _large(nodes: DataFrame, links: DataFrame, seeds: DataFrame, n: int, iterati
     own = F.when(F.col("seeded"), F.lit(1 / max(k, 1))).otherwise(F.lit(0.0)) if k else F.lit(1 / n)
     base = nodes.join(seeds.withColumn("seeded", F.lit(True)), "id", "left").select("id", F.coalesce("seeded", F.lit(False)).alias("seeded"))
     base = staged(base.withColumn("teleport", own).join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", "teleport", "degree"), "base")
-    rank = staged(base.withColumn("score", F.lit(1 / n)), "rank")
+    rank = old = staged(base.withColumn("score", F.lit(1 / n)), "rank")
     for _ in range(iterations):
         idle = rank.where("degree is null").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         share = rank.where("degree is not null").select(F.col("id").alias("src"), (F.col("score") / F.col("degree")).alias("share"))
@@ -67,7 +67,8 @@ def _large(nodes: DataFrame, links: DataFrame, seeds: DataFrame, n: int, iterati
         score = (1 - DAMPING) * F.col("teleport") + DAMPING * (F.coalesce("flow", F.lit(0.0)) + F.lit(idle) * F.col("teleport"))
         new = staged(rank.join(flow, "id", "left").select("id", "teleport", "degree", score.alias("score"), F.col("score").alias("before")), "rank")
         delta = new.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0]
-        rank = new.drop("before")
+        discard(old)
+        old, rank = new, new.drop("before")
         if delta < tolerance:
             break
     return rank.select("id", "score")

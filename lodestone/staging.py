@@ -30,7 +30,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet and read again."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``staged`` table that no plan will read any more."""
+    if path := getattr(df, "staged_path", None):
+        target, files = file_system(df.sparkSession, path)
+        files.delete(target, True)
 
 
 def file_system(spark: SparkSession, path: str):
