@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from lodestone.staging import discard, staged
 
 MAX_ROUNDS = 60
 
@@ -36,7 +36,8 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     mark, now = None, staged(edges.select("a", "b").where("a <> b").distinct(), "links")
     for _ in range(MAX_ROUNDS):
-        now = staged(_small_star(_large_star(now)), "links")
+        before, now = now, staged(_small_star(_large_star(now)), "links")
+        discard(before)
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
         if seen == mark:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
