@@ -122,7 +122,7 @@ def lex(source: str, language: str) -> Tokens:
             add("string", end + 1 if end >= 0 else n)
         elif rust and c == "'" and not re.compile(r"'(\\.[^']*|[^'\\])'", re.DOTALL).match(source, k):
             k += 1  # a lifetime
-        elif c in "\"'" and not (c == "'" and go and False):
+        elif c in "\"'":
             add("string", _string_end(source, k + 1, c, False))
         elif c == "`" and (js or go):
             if go:
