@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -100,6 +101,13 @@ class Encoder:
         return np.array(self.encode(piece.encode()), "<u4").tobytes()
 
 
+@lru_cache(maxsize=2)
+def worker(ranks_name: str) -> tuple[Encoder, Pieces]:
+    """The encoder of this process and the pieces it has encoded: a worker that runs many tasks loads ranks once."""
+    encoder = Encoder(load_ranks(ranks_name))
+    return encoder, Pieces(encoder.packed)
+
+
 def pieces_of(text: str) -> list[str]:
     """The matches of the public pattern; every character belongs to one."""
     return BYTE_BPE.findall(text) if is_latin(text) else _PATTERN.findall(text)
@@ -107,8 +115,7 @@ def pieces_of(text: str) -> list[str]:
 
 def _encode_batches(ranks_name: str):
     def run(batches):
-        encoder = Encoder(load_ranks(ranks_name))
-        pieces = Pieces(encoder.packed)
+        encoder, pieces = worker(ranks_name)
         for batch in batches:
             for part in slices(batch, "text"):
                 counts, id_digests, text_digests = [], [], []
@@ -134,8 +141,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
 
 def _table_batches(ranks_name: str):
     def run(batches):
-        encoder = Encoder(load_ranks(ranks_name))
-        pieces = Pieces(encoder.packed)
+        encoder, pieces = worker(ranks_name)
         for batch in batches:
             for part in slices(batch, "__text"):
                 packed = [b"".join(map(pieces.__getitem__, pieces_of(t or ""))) for t in part.column("__text").to_pylist()]
@@ -164,20 +170,11 @@ def decoded(rows: DataFrame, ids_col: str = "token_ids", ranks: str = RANKS) ->
 
     @F.pandas_udf("string")
     def text_of(ids):
-        encoder = _decoder(ranks)
+        encoder, _ = worker(ranks)
         return ids.map(lambda x: None if x is None else encoder.decode(x.tolist()).decode("utf-8", "replace"))
 
     return rows.withColumn("decoded_text", text_of(F.col(ids_col)))
 
 
-_DECODERS: dict[str, Encoder] = {}
-
-
-def _decoder(ranks: str) -> Encoder:
-    if ranks not in _DECODERS:
-        _DECODERS[ranks] = Encoder(load_ranks(ranks))
-    return _DECODERS[ranks]
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

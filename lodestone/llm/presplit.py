@@ -35,20 +35,18 @@ def is_latin(text: str) -> bool:
 
 
 class Pieces(dict):
-    """piece -> what ``make`` gives for it, kept for up to ``most`` pieces, then forgotten and begun anew."""
+    """piece -> what ``make`` gives for it. The newest ``most`` pieces are kept, and those before them for as long again:
+    of two generations the older one goes, but what was used meanwhile is in the newer one."""
 
-    def __init__(self, make, most: int = 400_000):
-        self.make, self.most = make, most
+    def __init__(self, make, most: int = 500_000):
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece):
+        found = self.old.get(piece)
+        if found is None:
+            found = self.make(piece)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[piece] = found = self.make(piece)
+        self[piece] = found
         return found
-
-    def learn(self, pieces, make_all) -> None:
-        """Keep what ``make_all`` gives for those of ``pieces`` that are not kept yet."""
-        new = list(set(pieces).difference(self))
-        if len(self) + len(new) > self.most:
-            self.clear()
-        self.update(zip(new, make_all(new)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -68,6 +69,12 @@ class Pretrained:
         return text if any(s in found or s in text for s in self.specials) else found.strip(" ")
 
 
+@lru_cache(maxsize=2)
+def pretrained(name: str) -> Pretrained:
+    """The tokenizer of this process: a worker that runs many tasks loads it once and keeps its pieces."""
+    return Pretrained(name)
+
+
 def version_digest(name: str) -> str:
     """Digest of the tokenizer: of the bytes of its file and of the library's version."""
     with open(public_tokenizers.path(name), "rb") as file:

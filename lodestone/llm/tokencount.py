@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.staging import file_system
 
 from .common import new_path, slices, staged
-from .pretrained import Pretrained, version_digest
+from .pretrained import Pretrained, pretrained, version_digest
 
 TOKENIZER, LIMIT = "word_bpe_49k.json", 2048
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -23,7 +23,7 @@ def _digest(tokenizer: Pretrained, text: str | None) -> bytes:
 
 def _keys(name: str):
     def run(batches):
-        tokenizer = Pretrained(name)
+        tokenizer = pretrained(name)
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [_digest(tokenizer, t) for t in part.column("text").to_pylist()]
@@ -34,7 +34,7 @@ def _keys(name: str):
 
 def _counts(name: str):
     def run(batches):
-        tokenizer = Pretrained(name)
+        tokenizer = pretrained(name)
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()

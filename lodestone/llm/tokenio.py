@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import new_path, slices, staged
-from .pretrained import Pretrained
+from .pretrained import pretrained
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids in a file, about; a longer document makes a longer file.
@@ -99,7 +99,7 @@ MANIFEST = "part int, nth int, path string, n_docs long, n_ids long, n_bytes lon
 
 def _write(folder: str, name: str, end_id: int | None, file_ids: int):
     def run(batches):
-        tokenizer, end = Pretrained(name), b"" if end_id is None else struct.pack("<I", end_id)
+        tokenizer, end = pretrained(name), b"" if end_id is None else struct.pack("<I", end_id)
         files, root = pa.fs.FileSystem.from_uri(folder)
         files.create_dir(root)
         part, nth = TaskContext.get().partitionId(), 0
