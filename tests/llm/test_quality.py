@@ -69,3 +69,20 @@ def test_filter_keeps_columns(spark):
     assert kept.columns == ["doc_id", "text", "n_words", "kept"] and [tuple(r) for r in kept.collect()] == [rows[1]]
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.keep_good(empty).count() == 0 and quality.quality(empty).count() == 0
+
+
+def test_production_bands_reject_junk_and_keep_what_is_labelled_good(spark):
+    folder = "/root/testdata/sf0.01"
+    good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").collect()}
+    passed = [r for r in quality.quality(spark.read.parquet(f"{folder}/documents.parquet")).collect() if not r.base_failed]
+    rejected = {r.doc_id for r in passed if not r.kept}
+    symbols = {r.doc_id for r in passed if r.n_symbols >= 0.1 * r.word_chars}
+    assert len(symbols) > 50 and 2 * len(rejected & symbols) > len(symbols)
+    assert not rejected & good and len(rejected - symbols) <= 2
+
+
+def test_production_bands_judge_entropy_of_short_texts_too(spark):
+    few = " ".join(f"{'na' * (1 + k)}" for k in range(14))  # few distinct tokens, no repeated window
+    row = quality.quality(spark.createDataFrame([(1, few, "", "")], SCHEMA)).first()
+    assert BANDS["latin"].floor_tokens <= row.n_tokens < BANDS["latin"].least_tokens and row.token_entropy < 2.5
+    assert not row.base_failed and not row.kept
