@@ -46,7 +46,8 @@ def _fingerprint_batches(shingle: int, seed: int):
                 words = [w.lower() for w in words]  # of bytes: A-Z only
                 rows = ([words[c] for c in codes[a:b].tolist()] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
                 found = np.fromiter((fingerprint(row, shingle, seed) for row in rows), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
+                kept = [n for n in part.schema.names if n != "text"]
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(found.view(np.int64))], [*kept, "fp"])
 
     return run
 
@@ -95,6 +96,15 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return meets.select(F.col("hub").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
 
 
+def _rooted(each: DataFrame, radius: int) -> DataFrame:
+    """The distinct fingerprints of ``each`` (id, fp) with the root of their component and its smallest id."""
+    classes = staged(each.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
+    roots = connected(links(classes.select("fp"), radius))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """Rows (doc_id, fp, component_id), one per row of ``docs``.
 
@@ -104,27 +114,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids only has a null component_id. Repeated rows come back repeated. An empty table gives an empty result.
     """
     each = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    classes = staged(each.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
-    roots = connected(links(classes.select("fp"), radius))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = rooted.join(smallest, "root").select("fp", "component_id")
-    return each.join(by_fp, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    return each.join(_rooted(each, radius), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component of ``near_duplicates``, that with the smallest id, with all its columns.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """Exactly one document of each component of ``near_duplicates``, one with its smallest id, with all its columns.
 
-    Of rows that repeat that id the one with the smallest text stays; of a component of null ids one row stays.
+    Of a component's rows that repeat that id the one with the smallest text stays; of a component of null ids one row
+    stays. Rows are told apart by id and the 64-bit digest of the text, so an id may stand for several components.
+    Rows equal in both are reduced to one before and after they are dealt, so null ids and copies gather nowhere.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    # the join and the window are dealt by the same two columns: the texts are shuffled once
-    key = lambda c: {"__key": F.coalesce(F.col(c).cast("long"), F.lit(0)), "__none": F.col(c).isNull()}
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumns(key("doc_id")).select("__key", "__none").distinct()
-    names = docs.columns
-    rows = docs.withColumns(key(id_col)).join(stay.hint("merge"), ["__key", "__none"], "left_semi")
-    first = F.row_number().over(W.partitionBy("__key", "__none").orderBy(F.col(text_col).asc_nulls_first()))
-    return rows.withColumn("__nth", first).where("__nth = 1").select(*names)
+    key = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__none": F.col(id_col).cast("long").isNull(), "__text": F.xxhash64(text_col)}
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    each = staged(rows.mapInArrow(_fingerprint_batches(shingle, seed), "id long, digest long, fp long"), "fingerprints")
+    first = F.col("id").eqNullSafe(F.col("component_id"))
+    texts = staged(each.join(_rooted(each.select("id", "fp"), radius), "fp").where(first).select("root", "id", "digest").distinct(), "candidates")
+    # of null ids any text may stay; where an id has several texts in its component the texts themselves decide
+    spread = texts.groupBy("root").agg(F.min("id").alias("id"), F.min("digest").alias("digest"), F.max("digest").alias("last"))
+    tied = F.col("id").isNotNull() & (F.col("digest") != F.col("last"))
+    stay = spread.where(~tied).select("id", "digest")
+    if not spread.where(tied).isEmpty():
+        rivals = texts.join(spread.where(tied).select("root"), "root")
+        least = rows.join(rivals, ["id", "digest"]).groupBy("root").agg(F.min(F.struct("text", "digest", "id")).alias("least"))
+        stay = stay.unionByName(least.select("least.id", "least.digest"))
+    stay = stay.select(F.coalesce("id", F.lit(0)).alias("__id"), F.col("id").isNull().alias("__none"), F.col("digest").alias("__text"))
+    # the window and the join are dealt by the same columns: the texts are shuffled once
+    nth = F.row_number().over(W.partitionBy(*key).orderBy("__text"))
+    distinct = docs.withColumns(key).withColumn("__nth", nth).where("__nth = 1")
+    return distinct.join(stay.hint("merge"), list(key), "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

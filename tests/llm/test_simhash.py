@@ -90,6 +90,24 @@ def test_one_of_each_component_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 9]
 
 
+def test_each_component_of_null_and_repeated_ids_keeps_one(spark):
+    a, b, c, d = ("first text of some words", "second piece with other words", "third one is unlike both", "fourth and last of the unlike ones")
+    rows = [(None, a, "", ""), (None, a, "", ""), (None, b, "", ""), (None, c, "", ""), (7, c, "", "")]  # c has a numbered row
+    rows += [(5, d, "", ""), (5, "zebras cross a road here", "", ""), (2, d, "", "")]  # one id, two components, one of them led by 2
+    rows += [(8, "Tie of Two Spellings here", "", ""), (8, "tie of two spellings here", "", ""), (9, "tie of two spellings here", "", ""), (10, None, "", ""), (10, "", "", ""), (None, None, "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (7, c), (2, d), (5, "zebras cross a road here"), (8, "Tie of Two Spellings here"), (10, None)], key=str)
+
+
+def test_copies_of_null_ids_are_reduced_before_they_are_dealt(spark):
+    docs = spark.createDataFrame([(None, "one text for all of these rows", "", "")] * 4000, SCHEMA).repartition(8)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.count() == 1
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0
