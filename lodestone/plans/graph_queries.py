@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import distinct_edges, innermost, unique_or_skip
-from lodestone.operators.rank import DAMPING
+from lodestone.operators.rank import DAMPING, ITERATIONS
 from lodestone.plans import register
 from lodestone.plans.fkgraph import GRAPH_SQL, SITES_SQL, call_sites, edges, graph, nodes, table
 
@@ -202,6 +202,24 @@ def _ranked_context_files(spark, sf_dir):
     return found.select("id", "path", F.round("score", 10).alias("score"))
 
 
+# The same three at the operator's own rounds and tolerance; on these tables the tolerance ends no run before the last round.
+@register("pagerank_global_full", f"{pagerank_sql('TRUE', ITERATIONS)} SELECT id, round(score, 10) AS score FROM k{ITERATIONS}")
+def _pagerank_global_full(spark, sf_dir):
+    return graph(spark, sf_dir).ranked_context(limit=None).select("id", F.round("score", 10).alias("score"))
+
+
+@register("pagerank_personalized_full", f"{pagerank_sql(_SEEDS, ITERATIONS)} SELECT id, name, path, round(score, 10) AS score FROM k{ITERATIONS} JOIN nodes USING (id) ORDER BY k{ITERATIONS}.score DESC, id LIMIT 20")
+def _pagerank_personalized_full(spark, sf_dir):
+    found = graph(spark, sf_dir).ranked_context(seeds=["o:7", "Supplier#000000003", "geo/NATION_1"])
+    return found.select("id", "name", "path", F.round("score", 10).alias("score"))
+
+
+@register("ranked_context_files_full", f"{pagerank_sql(_SEEDS, ITERATIONS)} SELECT id, path, round(score, 10) AS score FROM k{ITERATIONS} JOIN nodes USING (id) WHERE kind = 'file' ORDER BY k{ITERATIONS}.score DESC, id LIMIT 6")
+def _ranked_context_files_full(spark, sf_dir):
+    found = graph(spark, sf_dir).ranked_context(seeds=["o:7", "Supplier#000000003", "geo/NATION_1"], kind="file", limit=6)
+    return found.select("id", "path", F.round("score", 10).alias("score"))
+
+
 @register("name_index", f"{GRAPH_SQL} SELECT name, count(*) AS n, string_agg(id, ',' ORDER BY ord) AS ids FROM nodes WHERE symbol_kind = 'type' GROUP BY name")
 def _name_index(spark, sf_dir):
     from lodestone.operators.graph import CodeGraph
