@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -148,23 +149,23 @@ def _fold(id_col: str):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Network | None:
     """Trains on a sample of the labelled rows outside the held-out fold; None where there is no such row.
 
-    Bounds: about ``sample_docs`` rows of each language, drawn by a hash of the id against the language's count over
-    all rows, and ``sample_chars`` characters of each at a hashed place. That much reaches the driver, whatever the
-    size of the table.
+    Bounds: ``sample_docs`` rows of each language on average and twice that at most, drawn by a hash of id and text
+    against the language's count of unlike rows, and ``sample_chars`` characters of each at a hashed place. Equal rows
+    count once, and the bound is kept by the tasks: no more reaches the driver, whatever ids repeat or are null.
     """
     known = docs.where((_fold(id_col) != HELD_OUT_FOLD) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = known.groupBy(F.col(lang_col).alias("known_lang")).count().collect()
+    same = F.xxhash64(F.col(id_col), F.col(text_col))
+    counts = known.groupBy(F.col(lang_col).alias("known_lang")).agg(F.approx_count_distinct(same).alias("count")).collect()
     if not counts:
         return None
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("place")), F.greatest(F.lit(1), F.length(text_col) - sample_chars + 1))
+    place = F.pmod(F.xxhash64(same, F.lit("place")), F.greatest(F.lit(1), F.length(text_col) - sample_chars + 1))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["known_lang"], sample_docs / r["count"])])
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(lang_col).alias("l"), F.substr(F.col(text_col), (place + 1).cast("int"), F.lit(sample_chars)).alias("t"), (drawn < share[F.col(lang_col)]).alias("in"))
-    sample, taken, used = sorted(((r.h, r.l, r.t) for r in rows.where("in").collect())), {}, []
-    for h, lang, text in sample:
-        if taken.setdefault(lang, 0) < 2 * sample_docs:
-            taken[lang] += 1
-            used.append((text, lang))
+    drawn = F.pmod(F.xxhash64(same, F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
+    rows = known.select(same.alias("h"), F.col(lang_col).alias("l"), F.substr(F.col(text_col), (place + 1).cast("int"), F.lit(sample_chars)).alias("t"), (drawn < share[F.col(lang_col)]).alias("in"))
+    once = F.row_number().over(W.partitionBy("l", "h").orderBy("t"))
+    nth = F.row_number().over(W.partitionBy("l").orderBy("h", "t"))
+    few = rows.where("in").withColumn("once", once).where("once = 1").withColumn("nth", nth).where(F.col("nth") <= 2 * sample_docs)
+    used = [(r.t, r.l) for r in sorted(few.select("h", "l", "t").collect())]
     return train(*map(list, zip(*used))) if used else None
 
 

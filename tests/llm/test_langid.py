@@ -78,3 +78,17 @@ def test_prediction_uses_text_only():
     assert whole[0] == ["en", "fr"]
     again = langid._predictions(net, pa.array(["la nuit et la fin de la mer " * 30]))
     assert again[1][0] == pytest.approx(whole[1][1])
+
+
+def test_sample_draws_rows_of_one_id_apart_and_within_bounds(spark, monkeypatch):
+    drawn = {}
+    monkeypatch.setattr(langid, "train", lambda texts, labels: drawn.update(texts=texts, labels=labels))
+    for same in range(12):  # ids outside the held-out fold, one for all rows
+        if zlib.crc32(str(same).encode()) % 4 == 2:
+            continue
+        rows = [(same, f"text {k} of many in the one language", "en", "", "") for k in range(1500)] + [(same, "copied text", "fr", "", "")] * 600
+        langid.fit(spark.createDataFrame(rows, SCHEMA), sample_docs=50)
+        assert 20 <= drawn["labels"].count("en") <= 100
+        assert drawn["labels"].count("fr") == 1
+        if same > 3:
+            break
