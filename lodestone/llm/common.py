@@ -5,11 +5,34 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 from lodestone.staging import new_path, shared_dir, staged  # noqa: F401
 
+#: Bytes of text that a worker handles at once.
+SLICE_BYTES = 2 << 20
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+
+def free_name(df: DataFrame, label: str) -> str:
+    """A column name that begins with ``label`` and that ``df`` does not have, in any case."""
+    taken, nth = {c.lower() for c in df.columns}, 0
+    while (name := f"{label}_{nth}").lower() in taken:
+        nth += 1
+    return name
+
+
+def place_of(df: DataFrame, column: str) -> int:
+    """The place of ``column`` among the columns of ``df``; Spark says whether case matters and whether it is there."""
+    df.select(column)
+    return df.columns.index(column) if column in df.columns else [c.lower() for c in df.columns].index(column.lower())
+
+
+def type_of(df: DataFrame, column: str) -> str:
+    """The type of ``column``, as schema strings spell it."""
+    return df.select(column).schema[0].dataType.simpleString()
+
+
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES):
     """Consecutive parts of ``batch`` with about ``limit`` bytes of ``column`` each; a longer row comes alone."""
     if batch.num_rows == 0:
         return

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -27,16 +28,22 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+@lru_cache(maxsize=1)
+def _library(name: str) -> tokenizers.Tokenizer:
+    """The library's tokenizer: a worker that runs many tasks loads the file once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
+
+
 class Pretrained:
-    """One tokenizer file: ids or counts of whole texts, without begin, end or added special tokens."""
+    """One tokenizer file: ids or counts of whole texts, without begin, end or added special tokens. A task has its own."""
 
     def __init__(self, name: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
+        self.library = _library(name)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words = self.library.normalizer is not None
         self._model = self.library.model
-        self._packed = Pieces(lambda piece: np.array([t.id for t in self._merged(piece)], "<u4").tobytes())
+        self._packed = Pieces(lambda piece: struct.pack(f"<{len(found := self._merged(piece))}I", *[t.id for t in found]))
         self._counts = Pieces(lambda piece: len(self._merged(piece)))
 
     def _merged(self, piece: str):
@@ -69,12 +76,6 @@ class Pretrained:
         return text if any(s in found or s in text for s in self.specials) else found.strip(" ")
 
 
-@lru_cache(maxsize=2)
-def pretrained(name: str) -> Pretrained:
-    """The tokenizer of this process: a worker that runs many tasks loads it once and keeps its pieces."""
-    return Pretrained(name)
-
-
 def version_digest(name: str) -> str:
     """Digest of the tokenizer: of the bytes of its file and of the library's version."""
     with open(public_tokenizers.path(name), "rb") as file:

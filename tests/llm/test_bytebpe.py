@@ -50,10 +50,53 @@ def test_join_is_associative():
     for _ in range(60):
         text = "".join(draw.choice("aabtheinion") for _ in range(90)).encode()
         cuts = sorted(draw.sample(range(1, 89), 2))
-        a, b, c = (ENCODER._reduced(text[x:y]) for x, y in zip([0, *cuts], [*cuts, 90]))
+        a, b, c = (ENCODER._reduced(text, x, y) for x, y in zip([0, *cuts], [*cuts, 90]))
         assert ENCODER._joined(ENCODER._joined(a, b), c) == ENCODER._joined(a, ENCODER._joined(b, c)) == ENCODER._merged(text)
 
 
+def test_ids_of_real_documents_come_out_of_joins(spark, monkeypatch):
+    """Every piece that is no token goes through one join for each inner node of its tree, and windows grow."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    joins, pieces, merged, plain = [], 0, [], bytebpe.Encoder._joined
+    encoder = bytebpe.Encoder(RANKS)
+
+    def counted(self, left, right):
+        out = plain(self, left, right)
+        assert self.decode(out) == self.decode(left) + self.decode(right)
+        joins.append((len(left), len(right)))
+        merged.append(len(out) < len(left) + len(right))
+        return out
+
+    monkeypatch.setattr(bytebpe.Encoder, "_joined", counted)
+    for text in texts:
+        for piece in map(str.encode, bytebpe.pieces_of(text)):
+            before = len(joins)
+            assert encoder.encode(piece) == LIBRARY.encode_ordinary(piece.decode())
+            if piece not in RANKS:
+                pieces += 1
+                assert len(joins) - before >= max(1, len(piece) // 2 - 1) or len(piece) <= 2
+    assert pieces > 1000 and len(joins) > 3 * pieces and sum(merged) > pieces
+
+
+def test_decoding_goes_up_the_tree(monkeypatch):
+    calls, plain = [], bytebpe.Encoder.decode
+    monkeypatch.setattr(bytebpe.Encoder, "decode", lambda self, ids: calls.append(len(ids)) or plain(self, ids))
+    text = "some words that repeat " * 100
+    ids = ids_of(text)
+    calls.clear()
+    assert ENCODER.decode(ids) == text.encode()
+    assert calls[0] == len(ids) and len(calls) > len(ids) // bytebpe.LEAF_TOKENS and min(calls) <= bytebpe.LEAF_TOKENS
+
+
+def test_clashing_columns_and_other_ids(spark):
+    rows = [("a", "one two", 7, "x"), (None, None, 8, "y"), ("a", "", 9, "z")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, text_0 int, TOKEN_IDS string")
+    made = bytebpe.with_ids(frame, text_col="TEXT")
+    assert made.columns == ["doc_id", "text", "text_0", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+    assert [tuple(r)[:4] for r in made.collect()] == [("a", "one two", 7, 2), (None, None, 8, 0), ("a", "", 9, 0)]
+    assert [(r.doc_id, r.n_tokens) for r in bytebpe.digests(frame).collect()] == [("a", 2), (None, 0), ("a", 0)]
+
+
 @pytest.mark.parametrize("name", [bytebpe.RANKS, "byte_bpe_multi_50k.tiktoken"])
 def test_table_against_library(spark, name):
     schema = "doc_id long, text string, n_tokens string"
