@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, staged, words_of
+from .common import free_name, slices, staged, type_of, words_of
 from .components import connected
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 3, 2
 #: Shingles that are hashed before their bits are counted.
 STEP = 1 << 16
+#: Fingerprints of a bucket that are compared with each other; larger buckets are split by flips of the ignored bits.
+BUCKET = 32
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -53,8 +55,10 @@ def _fingerprint_batches(shingle: int, seed: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Rows (id, fp) of ``docs``: one per row, fp the fingerprint's 64 bits as a long. A null text has no words."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches(shingle, seed), "id long, fp long")
+    """Rows (id, fp) of ``docs``: one per row, fp the fingerprint's 64 bits as a long. A null text has no words. id has
+    the id's own type."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprint_batches(shingle, seed), f"id {type_of(docs, id_col)}, fp long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -72,28 +76,46 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct_fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def candidates(distinct_fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """The covering tables' buckets of two or more fingerprints (column fp, distinct): small ones and large ones.
+
+    Small ones, up to ``bucket``, are rows (t, key, all) with their fingerprints in order. Of large ones each
+    fingerprint is a row (t, key, fp). Sizes are counted before anything is gathered, so no array is longer.
+    """
+    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks(radius)])
+    tables = distinct_fps.select("fp", F.posexplode(keys).alias("t", "key"))
+    shared = tables.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    mates = tables.join(shared, ["t", "key"])
+    small = mates.where(F.col("n") <= bucket).groupBy("t", "key").agg(F.array_sort(F.collect_list("fp")).alias("all"))
+    return small, mates.where(F.col("n") > bucket).drop("n")
+
+
+def _near(a, b, radius: int):
+    return F.bit_count(a.bitwiseXOR(b)) <= radius
+
+
+def links(distinct_fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect exactly the fingerprints (column fp, distinct) at ``radius`` (1 or 2) or fewer bits.
 
-    Covering tables first: a fingerprint that shares no masked key with another has no partner and goes. For the rest
-    no pair inside a bucket is formed. Two fingerprints differ in at most two bits if and only if they meet in a common
-    value one flip away, so each emits its 64 flips and itself; those at one value, at most 65, are all linked to the
-    smallest of them. Work is linear however many fingerprints fall in one bucket. At radius 1 the flip of the pair's
-    bit is the other one itself, and only those are linked.
+    Candidates come from the buckets of the covering tables alone, and every link is verified by its differing bits. In
+    a small bucket each fingerprint is compared with the others in place, and only those that hold leave it. A large
+    bucket is split by its ignored bits: each fingerprint emits itself and its values one flip of such a bit away,
+    and those that meet in a value, at most one more than there are ignored bits, link to the smallest of them. Two
+    that differ in two ignored bits always meet so, hence work is linear in the bucket and no link is lost.
     """
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks(radius)])
-    tables = distinct_fps.select("fp", F.posexplode(keys).alias("t", "key"))
-    shared = tables.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("t", "key")
-    rivals = tables.join(shared, ["t", "key"]).select("fp").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS)])
-    meets = rivals.select("fp", F.explode(flips).alias("at")).groupBy("at").agg(F.collect_set("fp").alias("all")).where("size(all) > 1")
-    if radius == 1:
-        meets = meets.where(F.array_contains("all", F.col("at"))).withColumn("hub", F.col("at"))
-    else:
-        meets = meets.withColumn("hub", F.array_min("all"))
-    return meets.select(F.col("hub").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
+    small, large = candidates(distinct_fps, radius, bucket)
+    pairs = F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.size("all")), lambda y: _near(x, y, radius)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    compared = small.select(F.explode(F.flatten(pairs)).alias("link")).select("link.a", "link.b")
+    ignored = [[_signed(1 << i) for i in range(BITS) if not m >> i & 1] for m in covering_masks(radius)]
+    flips = F.transform(F.element_at(F.lit(ignored), F.col("t") + 1), lambda bit: F.col("fp").bitwiseXOR(bit))
+    at = large.select("t", "fp", F.explode(F.array_append(flips, F.col("fp"))).alias("at"))
+    meets = at.groupBy("t", "at").agg(F.collect_set("fp").alias("all")).where("size(all) > 1")
+    # at radius 1 the flip of the pair's bit is the other one itself, and only that is a link
+    meets = meets.withColumn("hub", F.array_min("all")) if radius == 2 else meets.where(F.array_contains("all", F.col("at"))).withColumn("hub", F.col("at"))
+    met = meets.select(F.col("hub").alias("a"), F.explode("all").alias("b")).where(_near(F.col("a"), F.col("b"), radius) & F.expr("a <> b"))
+    return compared.unionByName(met).distinct()
 
 
 def _rooted(each: DataFrame, radius: int) -> DataFrame:
@@ -110,8 +132,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id reachable over links of ``radius`` or fewer bits, its own included. Equal
     fingerprints are gathered before anything else, so copies cost one fingerprint however many they are. Null and
-    empty texts share fingerprint zero and link like any other. A null id is never the smallest; a component of null
-    ids only has a null component_id. Repeated rows come back repeated. An empty table gives an empty result.
+    empty texts share fingerprint zero and link like any other; a very long text is hashed whole, a step of shingles at
+    a time. Ids are of any ordered type, which doc_id and component_id have too. A null id is never the smallest; a
+    component of null ids only has a null component_id. Repeated rows come back repeated, other columns are not read.
+    An empty table gives an empty result.
     """
     each = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     return each.join(_rooted(each, radius), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
@@ -123,10 +147,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of a component's rows that repeat that id the one with the smallest text stays; of a component of null ids one row
     stays. Rows are told apart by id and the 64-bit digest of the text, so an id may stand for several components.
     Rows equal in both are reduced to one before and after they are dealt, so null ids and copies gather nowhere.
+    Columns may have any names and ids any ordered type. An empty table gives an empty result.
     """
-    key = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__none": F.col(id_col).cast("long").isNull(), "__text": F.xxhash64(text_col)}
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
-    each = staged(rows.mapInArrow(_fingerprint_batches(shingle, seed), "id long, digest long, fp long"), "fingerprints")
+    names = {}
+    for label in ("id", "none", "text", "nth"):
+        names[label] = free_name(docs, label)
+    # the id as text: one type to join by, with null apart from every id
+    own = {names["id"]: F.coalesce(F.col(id_col).cast("string"), F.lit("")), names["none"]: F.col(id_col).isNull(), names["text"]: F.xxhash64(text_col)}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("digest"))
+    each = staged(rows.mapInArrow(_fingerprint_batches(shingle, seed), f"id {type_of(docs, id_col)}, digest long, fp long"), "fingerprints")
     first = F.col("id").eqNullSafe(F.col("component_id"))
     texts = staged(each.join(_rooted(each.select("id", "fp"), radius), "fp").where(first).select("root", "id", "digest").distinct(), "candidates")
     # of null ids any text may stay; where an id has several texts in its component the texts themselves decide
@@ -137,11 +166,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         rivals = texts.join(spread.where(tied).select("root"), "root")
         least = rows.join(rivals, ["id", "digest"]).groupBy("root").agg(F.min(F.struct("text", "digest", "id")).alias("least"))
         stay = stay.unionByName(least.select("least.id", "least.digest"))
-    stay = stay.select(F.coalesce("id", F.lit(0)).alias("__id"), F.col("id").isNull().alias("__none"), F.col("digest").alias("__text"))
+    stay = stay.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias(names["id"]), F.col("id").isNull().alias(names["none"]), F.col("digest").alias(names["text"]))
     # the window and the join are dealt by the same columns: the texts are shuffled once
-    nth = F.row_number().over(W.partitionBy(*key).orderBy("__text"))
-    distinct = docs.withColumns(key).withColumn("__nth", nth).where("__nth = 1")
-    return distinct.join(stay.hint("merge"), list(key), "left_semi").select(*docs.columns)
+    nth = F.row_number().over(W.partitionBy(*own).orderBy(names["text"]))
+    distinct = docs.withColumns(own).withColumn(names["nth"], nth).where(F.col(names["nth"]) == 1)
+    return distinct.join(stay.hint("merge"), list(own), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

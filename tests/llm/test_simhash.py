@@ -83,6 +83,56 @@ def test_chains_of_links(spark, monkeypatch):
     assert [roots.get(s, s) for s in order] == brute
 
 
+def test_small_and_large_buckets_link_alike(spark):
+    """Buckets compared in place, split by flips, and a mixture give the links' components that all pairs give."""
+    import random
+
+    from lodestone.llm.components import connected
+
+    draw = random.Random(11)
+    low = [k for k in range(64) if not simhash.covering_masks()[0] >> k & 1]
+    base = draw.getrandbits(64)
+    values = {base}
+    while len(values) < 150:  # all in one bucket of the first table
+        values.add(base ^ sum(1 << k for k in draw.sample(low, draw.choice((1, 2, 3, 6)))))
+    values |= {draw.getrandbits(64) for _ in range(100)}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    frame = spark.createDataFrame([(v,) for v in signed], "fp long")
+    for radius in (1, 2):
+        brute = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= radius}
+        compared = {tuple(sorted(r)) for r in simhash.links(frame, radius, bucket=1000).collect()}
+        assert compared == brute
+        whole = {r.node: r.root for r in connected(simhash.links(frame, radius, bucket=1000)).collect()}
+        for bucket in (1, 32):
+            found = simhash.links(frame, radius, bucket)
+            assert {tuple(sorted(r)) for r in found.collect()} <= brute
+            assert {r.node: r.root for r in connected(found).collect()} == whole
+
+
+def test_candidates_come_from_the_buckets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = [(r.fp,) for r in simhash.fingerprints(docs).select("fp").distinct().collect()]
+    small, large = simhash.candidates(spark.createDataFrame(fps, "fp long"))
+    masks = simhash.covering_masks()
+    pairs = set()
+    for row in small.collect():
+        assert 2 <= len(row["all"]) <= simhash.BUCKET
+        assert len({v & masks[row.t] & (2**64 - 1) for v in row["all"]}) == 1
+        pairs |= {(a, b) for a in row["all"] for b in row["all"] if a < b}
+    assert large.count() == 0
+    near = {(a, b) for (a,) in fps for (b,) in fps if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
+    assert near <= pairs and len(pairs) < len(fps) * (len(fps) - 1) / 2 / 100
+
+
+def test_any_names_and_ids(spark):
+    rows = [("b", "same text of five words", 1, 2, 3, 4), ("a", "same text of five words", 5, 6, 7, 8), (None, "quite another text it is", 9, 10, 11, 12)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, id_0 int, none_0 int, TEXT_0 int, __key int")
+    kept = simhash.drop_near_duplicates(docs, text_col="Text")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:], key=str)
+    assert sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str) == sorted([("a", "a"), ("b", "a"), (None, None)], key=str)
+
+
 def test_one_of_each_component_stays(spark):
     rows = [(3, "same text of five words", "a", "b"), (1, "same text of five words", "c", "d"), (1, "same text of five words", "c", "d"), (9, "another text with other words", "e", "f"), (None, "another text with other words", "e", "f")]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA))
