@@ -6,17 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import place_of, slices, type_of
 
 UNKNOWN = "und"
 WINDOW, EMBEDDING, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
-#: Bounds of the training sample: documents of each language, and characters taken from each at a hashed place.
-SAMPLE_DOCS, SAMPLE_CHARS = 250, 1024
+#: Bounds of the training sample: documents of each language, characters taken from each at a hashed place, and languages.
+SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGS = 250, 1024, 512
 EPOCHS, BATCH, RATE, SEED = 6, 64, 4e-3, 11
 #: Windows that are convolved together.
 STEP = 256
@@ -103,24 +102,28 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def windows_of(texts: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of WINDOW bytes that cover the texts, the row of each and the text bytes in it. An empty text has none."""
-    array = pa.array(texts, pa.binary()) if isinstance(texts, list) else pc.fill_null(texts, "").cast(pa.binary())
-    sizes = pc.binary_length(array).to_numpy(zero_copy_only=False).astype(np.int64)
-    raw = np.frombuffer(b"".join(array.to_pylist()), np.uint8)
+def windows_of(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of WINDOW bytes that cover the texts, the row of each and the text bytes in it. An empty text has none.
+
+    Beside the windows, which take the texts' bytes rounded up, no array grows with the bytes.
+    """
+    raw = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     each = -(-sizes // WINDOW)
+    first = np.cumsum(each) - each
     out = np.zeros((int(each.sum()), WINDOW), np.uint8)
-    shift = (np.cumsum(each) - each) * WINDOW - (np.cumsum(sizes) - sizes)
-    out.reshape(-1)[np.arange(len(raw)) + np.repeat(shift, sizes)] = raw
-    row = np.repeat(np.arange(len(sizes)), each)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    flat = out.reshape(-1)
+    for start, text in zip((first * WINDOW).tolist(), raw):
+        flat[start : start + len(text)] = np.frombuffer(text, np.uint8)
+    row = np.repeat(np.arange(len(raw)), each)
+    nth = np.arange(len(row)) - first[row]
     return out, row, np.minimum(WINDOW, sizes[row] - nth * WINDOW)
 
 
 def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """A network for the distinct labels, by Adam. Each window is also shown cut short, so short texts are learnt too."""
     rng, langs = np.random.default_rng(seed), sorted(set(labels))
-    windows, row, size = windows_of([t.encode() for t in texts])
+    windows, row, size = windows_of(texts)
     y = np.array([langs.index(label) for label in labels])[row]
     full = size >= 16
     windows, y, size = windows[full], y[full], size[full]
@@ -146,16 +149,18 @@ def _fold(id_col: str):
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % FOLDS
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Network | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, most_langs: int = MOST_LANGS) -> Network | None:
     """Trains on a sample of the labelled rows outside the held-out fold; None where there is no such row.
 
     Bounds: ``sample_docs`` rows of each language on average and twice that at most, drawn by a hash of id and text
     against the language's count of unlike rows, and ``sample_chars`` characters of each at a hashed place. Equal rows
-    count once, and the bound is kept by the tasks: no more reaches the driver, whatever ids repeat or are null.
+    count once, and the bound is kept by the tasks: no more reaches the driver, whatever ids repeat or are null. Of more
+    than ``most_langs`` languages those with most rows are learned, of equals the first by name.
     """
     known = docs.where((_fold(id_col) != HELD_OUT_FOLD) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     same = F.xxhash64(F.col(id_col), F.col(text_col))
-    counts = known.groupBy(F.col(lang_col).alias("known_lang")).agg(F.approx_count_distinct(same).alias("count")).collect()
+    counts = known.groupBy(F.col(lang_col).alias("known_lang")).agg(F.approx_count_distinct(same).alias("count"))
+    counts = counts.orderBy(F.desc("count"), "known_lang").limit(most_langs).collect()
     if not counts:
         return None
     place = F.pmod(F.xxhash64(same, F.lit("place")), F.greatest(F.lit(1), F.length(text_col) - sample_chars + 1))
@@ -169,8 +174,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(*map(list, zip(*used))) if used else None
 
 
-def _predictions(net: Network | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    lettered = np.fromiter((t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()), bool, len(texts))
+def _predictions(net: Network | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    texts = column.to_pylist()
+    lettered = np.fromiter((t is not None and any(map(str.isalpha, t)) for t in texts), bool, len(texts))
     if net is None:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     windows, row, size = windows_of(texts)
@@ -195,18 +201,23 @@ def _predict(net: Network | None):
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score), one per row of ``docs``, from the text alone; no shuffle.
 
+    doc_id has the id's own type; a text of any length is judged whole.
+
     All windows of a text count, each by its bytes; the score is the mean probability of the best language. A text that
     is null or has no letter is ``und`` with score 0, and so is any text where there was nothing to learn from. Ids may
     be null or repeat. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), (_fold(id_col) == HELD_OUT_FOLD).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("id"), (_fold(id_col) == HELD_OUT_FOLD).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_predict(net), f"doc_id {type_of(docs, id_col)}, held_out boolean, lang_pred string, score double")
 
 
 def _filter(net: Network | None, at: int, least: float):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, batch.schema.names[at]):
+            for part in slices(batch, at):
+                if net is None:
+                    yield part.filter(pa.array([t is not None and any(map(str.isalpha, t)) for t in part.column(at).to_pylist()], pa.bool_()))
+                    continue
                 langs, score = _predictions(net, part.column(at))
                 yield part.filter(pa.array((score >= least) & (np.array(langs) != UNKNOWN)))
 
@@ -214,8 +225,13 @@ def _filter(net: Network | None, at: int, least: float):
 
 
 def keep_identified(docs: DataFrame, net: Network | None, text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is found with ``least_score`` or more, with all their columns; no shuffle."""
-    return docs.mapInArrow(_filter(net, docs.columns.index(text_col), least_score), docs.schema)
+    """The rows of ``docs`` whose language is found with ``least_score`` or more, with all their columns; no shuffle.
+
+    A null or empty text, or one without a letter, has no language and goes. Repeated rows are judged alike, texts of
+    any length whole. An empty table gives an empty result. Without a network there is nothing to judge by, and all
+    rows that have a letter stay.
+    """
+    return docs.mapInArrow(_filter(net, place_of(docs, text_col), least_score), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

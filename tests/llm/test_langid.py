@@ -9,22 +9,40 @@ from lodestone.llm import langid
 SCHEMA = "doc_id long, text string, lang string, score string, lang_pred string"
 
 
+def plain_forward(net, window):
+    """Probabilities of one window: each filter of each width at each place by itself, in double precision."""
+    x = [net.embedding[b].astype(np.float64) for b in window]
+    places = len(window) - max(langid.WIDTHS) + 1
+    hidden = []
+    for f in range(len(langid.WIDTHS) * langid.FILTERS):
+        width = langid.WIDTHS[f // langid.FILTERS]
+        rows = net.filters[:, f].astype(np.float64).reshape(-1, langid.EMBEDDING)
+        at = [sum(float(rows[k] @ x[p + k]) for k in range(width)) for p in range(places)]
+        hidden.append(max(0.0, max(at) + net.filter_bias[f]))
+    logits = np.array(hidden) @ net.weights + net.bias
+    return np.exp(logits) / np.exp(logits).sum()
+
+
+def test_probabilities_against_a_plain_forward_pass():
+    net = langid.train(["the end of the day " * 20, "la fin de la nuit " * 20, "das ende der nacht " * 20] * 8, ["en", "fr", "de"] * 8, epochs=2)
+    windows, _, _ = langid.windows_of(["the day", "la nuit est longue " * 14, "€ ende", "x" * 256])
+    assert net.probabilities(windows) == pytest.approx(np.array([plain_forward(net, w) for w in windows]), abs=1e-5)
+
+
 def test_gradients_against_differences():
     rng = np.random.default_rng(1)
     net = langid.Network.fresh(["a", "b", "c"], rng)
     for name in ("embedding", "filters", "filter_bias", "weights", "bias"):
         setattr(net, name, getattr(net, name).astype(np.float64))
-    windows, labels = rng.integers(1, 5, (6, langid.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2])
+    windows, labels = rng.integers(1, 9, (3, 24)).astype(np.uint8), np.array([0, 1, 2])
 
     def loss():
-        columns = net.columns(windows).astype(np.float64)
-        top = (columns @ net.filters).max(axis=1) + net.filter_bias
-        p = langid._softmax(np.maximum(top, 0) @ net.weights + net.bias)
-        return -np.log(p[np.arange(6), labels]).mean()
+        return -np.mean([np.log(plain_forward(net, w)[label]) for w, label in zip(windows, labels)])
 
-    for parameter, gradient in zip(net.parameters[1:], net.gradients(windows, labels)[1:]):
+    for parameter, gradient in zip(net.parameters, net.gradients(windows, labels)):
         flat, step = parameter.reshape(-1), 1e-6
-        for k in rng.integers(0, flat.size, 12):
+        places = np.arange(langid.EMBEDDING, 9 * langid.EMBEDDING) if parameter is net.embedding else np.arange(flat.size)
+        for k in rng.choice(places, min(len(places), 10), replace=False):
             if parameter is net.filters and not net.reach().reshape(-1)[k]:
                 continue
             flat[k] += step
@@ -70,6 +88,21 @@ def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.fit(empty) is None and langid.identify(empty, None).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
+    assert langid.keep_identified(docs, None).count() == docs.count() - 3  # nothing to judge by: those with a letter
+
+
+def test_other_ids_and_spellings(spark):
+    rows = [("a", "the cat is on the mat " * 9, "en", 1), ("b", "le chat est sur la table " * 9, "fr", 2), (None, None, "fr", 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, LANG_PRED int")
+    net = langid.train([rows[0][1], rows[1][1]] * 20, ["en", "fr"] * 20)
+    assert [(r.doc_id, r.lang_pred) for r in langid.identify(docs, net, text_col="TEXT").collect()] == [("a", "en"), ("b", "fr"), (None, "und")]
+    assert [tuple(r) for r in langid.keep_identified(docs, net, text_col="Text").collect()] == rows[:2]
+
+
+def test_most_langs_bounds_what_is_learned(spark):
+    rows = [(i, f"some text {i} of many", f"l{i % 7}", "", "") for i in range(100)] + [(i, f"more text {i}", "l3", "", "") for i in range(100, 140)]
+    assert "l3" in langid.fit(spark.createDataFrame(rows, SCHEMA), most_langs=3).langs
+    assert len(langid.fit(spark.createDataFrame(rows, SCHEMA), most_langs=3).langs) <= 3
 
 
 def test_prediction_uses_text_only():
