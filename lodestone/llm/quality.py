@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, words_of
+from .common import place_of, slices, type_of, words_of
 
 VOCABULARY = "piece_bpe_32k.model"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
@@ -166,29 +166,30 @@ def _judge(vocabulary: str, bands: dict[str, Band]):
                     & ((entropy >= limits["least_entropy"][script]) | (tokens < limits["least_tokens"][script]))
                     & ((entropy >= limits["floor_entropy"][script]) | (tokens < limits["floor_tokens"][script]))
                 )
-                yield pa.RecordBatch.from_pydict(
+                made = pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": part.column("id"), "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": _duplicate_lines(part.column("text")), "n_repeat_words": repeated,
+                        "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": _duplicate_lines(part.column("text")), "n_repeat_words": repeated,
                         "base_failed": base_failed, "kept": ~base_failed & inside, "n_tokens": tokens, "chars_per_token": per_token, "fallback_share": share, "token_entropy": entropy,
                         "script": pa.array([SCRIPTS[k] for k in script.tolist()]),
                     },
                     schema=_ARROW,
                 )
+                yield pa.RecordBatch.from_arrays([part.column("id"), *made.columns], ["doc_id", *_ARROW.names])
 
     return run
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("n_tokens", pa.int64()), *((n, pa.float64()) for n in ("chars_per_token", "fallback_share", "token_entropy")), ("script", pa.string())])
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string"
+_ARROW = pa.schema([*((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("n_tokens", pa.int64()), *((n, pa.float64()) for n in ("chars_per_token", "fallback_share", "token_entropy")), ("script", pa.string())])
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, script string"
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, bands: dict[str, Band] = BANDS) -> DataFrame:
-    """One row (SCHEMA) for each row of ``docs``; no shuffle.
+    """One row (doc_id, then SCHEMA) for each row of ``docs``; no shuffle. doc_id has the id's own type.
 
     A null or empty text has no words and fails the base rules. Ids may be null or repeat; each row is judged by its
     own text. Very long texts are split for no figure. An empty table gives an empty result.
     """
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_judge(vocabulary, bands), SCHEMA)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_judge(vocabulary, bands), f"doc_id {type_of(docs, id_col)}, {SCHEMA}")
 
 
 def _filter(text_at: int, vocabulary: str, bands: dict[str, Band]):
@@ -205,8 +206,12 @@ def _filter(text_at: int, vocabulary: str, bands: dict[str, Band]):
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, bands: dict[str, Band] = BANDS) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns; no shuffle."""
-    return docs.mapInArrow(_filter(docs.columns.index(text_col), vocabulary, bands), docs.schema)
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns; no shuffle.
+
+    A null or empty text has no words and goes. Repeated rows are judged alike, texts of any length whole. An empty
+    table gives an empty result.
+    """
+    return docs.mapInArrow(_filter(place_of(docs, text_col), vocabulary, bands), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -86,3 +86,11 @@ def test_production_bands_judge_entropy_of_short_texts_too(spark):
     row = quality.quality(spark.createDataFrame([(1, few, "", "")], SCHEMA)).first()
     assert BANDS["latin"].floor_tokens <= row.n_tokens < BANDS["latin"].least_tokens and row.token_entropy < 2.5
     assert not row.base_failed and not row.kept
+
+
+def test_other_ids_and_spellings(spark):
+    good = "The old mill by the river was sold to a family from the north who kept bees and grew plums"
+    rows = [("a", good, 1), (None, None, 2), ("b", "short", 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, Kept int")
+    assert [(r.doc_id, r.kept) for r in quality.quality(docs, text_col="TEXT").collect()] == [("a", True), (None, False), ("b", False)]
+    assert [tuple(r) for r in quality.keep_good(docs, text_col="TEXT").collect()] == rows[:1]
