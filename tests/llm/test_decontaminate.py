@@ -74,6 +74,64 @@ def test_parts_find_the_same(spark):
     assert found(spark, docs, items, part_words=100) == brute(docs, items)
 
 
+def index_of(items):
+    split = [(i or 0, *dc.question_and_answer(t)) for i, t in items]
+    split = [x for x in split if x[1] or x[2]]
+    df = Counter(w for _, q, a in split for w in {*q, *a})
+    return dc.Index.build(split, len(split), np.mean([len(q) + len(a) for _, q, a in split]), df)
+
+
+def test_traversal_finds_what_scoring_all_finds_and_skips_postings(spark, monkeypatch):
+    """Every passage of real documents, without the batch's bound before it: block-max WAND against all scores."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    index, seen = index_of(items), Counter()
+    plain = dc.Cursor.seek
+
+    def seek(self, item):
+        before = self._at
+        plain(self, item)
+        seen["passed"] += self._at - before
+        seen["looked at"] += 1
+
+    monkeypatch.setattr(dc.Cursor, "seek", seek)
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    docs += [f"{t} {d}" for (_, t), d in zip(items, docs)]
+    hits = 0
+    for text in docs:
+        words = dc.normal_words(text)
+        for k in range(0, max(1, len(words)), dc.STRIDE):
+            own = {index.terms[w] for w in words[k : k + dc.PASSAGE] if w in index.terms}
+            inside = np.isin(index.item_term, list(own))
+            scores = np.bincount(np.repeat(np.arange(len(index.item_ids)), np.diff(index.item_at)), weights=index.item_impact * inside, minlength=len(index.item_ids))
+            found = dict(index.wand(sorted(own)))
+            seen["listed"] += sum(int(index.post_at[t + 1] - index.post_at[t]) for t in own)
+            assert found.keys() == set(np.flatnonzero(scores >= 1 - 1e-9).tolist())
+            assert all(abs(scores[i] - v) < 1e-9 for i, v in found.items())
+            hits += len(found)
+    assert hits >= 100
+    # some lists end before the need is reached and some seeks jump, so fewer postings are looked at than are listed
+    assert seen["looked at"] < seen["listed"] and seen["passed"] > seen["looked at"] * 0.9
+
+
+def test_many_parts_run_one_after_another(spark):
+    docs, items = cases()
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], DOCS)
+    bench = spark.createDataFrame([(i, t, "z") for i, t in items], ITEMS)
+    assert dc.indexes(bench, part_words=100)[0] >= 5
+    whole, parts = dc.drop_leaks(frame, bench), dc.drop_leaks(frame, bench, part_words=100)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(whole).count("MapInArrow") == 1 and plan(parts).count("MapInArrow") == 0  # each part's rows were written
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
+    assert plan(dc.leaks(frame, bench, part_words=100)).count("MapInArrow") == 0
+
+
+def test_other_ids_and_spellings(spark):
+    docs = spark.createDataFrame([("a", "one line that is the whole item here", 1), ("b", None, 2), (None, "clean", 3)], "doc_id string, text string, ITEM_ID int")
+    items = spark.createDataFrame([("x", "One line that is the whole item here"), (None, "nothing like it anywhere at all")], "item_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in dc.leaks(docs, items, text_col="TEXT").collect()] == [("a", "x")]
+    assert [tuple(r) for r in dc.drop_leaks(docs, items, text_col="Text").collect()] == [("b", None, 2), (None, "clean", 3)]
+
+
 def test_real_tables(spark):
     read = lambda t, key: [(r[0], r[1]) for r in spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").select(key, "text").collect()]
     docs, items = read("documents", "doc_id"), read("benchmark", "item_id")
@@ -95,10 +153,7 @@ def test_empty_tables(spark):
 
 def test_small_cells_change_nothing(monkeypatch):
     docs, items = cases()
-    split = [(i or 0, *dc.question_and_answer(t)) for i, t in items]
-    split = [x for x in split if x[1] or x[2]]
-    df = Counter(w for _, q, a in split for w in {*q, *a})
-    index = dc.Index.build(split, len(split), np.mean([len(q) + len(a) for _, q, a in split]), df)
+    index = index_of(items)
     texts = pa.array([t for _, t in docs], pa.string())
     whole = dc.Searcher(index).matches(texts)
     monkeypatch.setattr(dc, "CELLS", 20)
