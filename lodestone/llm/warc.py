@@ -26,7 +26,7 @@ from .common import new_path, slices, staged
 
 #: Uncompressed bytes of an archive, about.
 ARCHIVE_BYTES = 32 << 20
-LEAST_REVISIT_BYTES, LEVEL, CHUNK = 0, 6, 1 << 20
+LEAST_REVISIT_BYTES, LEVEL, CHUNK, HEAD_BYTES = 0, 6, 1 << 20, 1 << 20
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
@@ -42,8 +42,9 @@ def record_id(page_id: int | None) -> str:
 
 
 def _page_id(urn: str) -> int | None:
-    found = urn[len("<urn:page:") : -1]
-    return None if found == "none" else int(found)
+    """The id in ``record_id``'s form; None for a record without an id and for those of other writers."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", urn)
+    return int(found[1]) if found else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, first: int | None, revisit: bool) -> bytes:
@@ -59,21 +60,48 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 
 
 def inflated(stream, chunk: int = CHUNK):
-    """The uncompressed bytes of a gzip file in parts, whether it is one member or many."""
-    inflate = zlib.decompressobj(31)
+    """The uncompressed bytes of a gzip file in parts, whether it is one member or many.
+
+    Zero bytes that pad the file after a member are skipped. A ValueError says that the file ends inside a member, be it
+    within the data or before the checksum, so no cut archive passes for a whole one.
+    """
+    inflate, begun = zlib.decompressobj(31), False
     while data := stream.read(chunk):
         while data:
+            if not begun and not (data := data.lstrip(b"\0")):
+                break
+            begun = True
             if part := inflate.decompress(data, chunk):
                 yield part
             data = inflate.unconsumed_tail
             if inflate.eof:
-                data, inflate = inflate.unused_data, zlib.decompressobj(31)
-    if part := inflate.flush():
-        yield part
+                data, inflate, begun = inflate.unused_data, zlib.decompressobj(31), False
+    while begun:  # what a part's limit has held back
+        if part := inflate.decompress(inflate.unconsumed_tail, chunk):
+            yield part
+        elif not inflate.eof:
+            raise ValueError("the archive ends inside a gzip member")
+        begun = not inflate.eof
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Head fields by lower-case name; a line that begins with white space goes on with the field before."""
+    lines = re.sub(rb"\r\n[ \t]+", b" ", head).decode("utf-8", "replace").split("\r\n")[1:]
+    return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+
+
+def _length(fields: dict[str, str]) -> int:
+    if not (found := fields.get("content-length", "")).isdecimal():
+        raise ValueError("a record has no content length")
+    return int(found)
 
 
 def records(parts):
-    """The raw records in consecutive parts of an uncompressed archive, one at a time."""
+    """The raw records in consecutive parts of an uncompressed archive, one at a time, whoever wrote them.
+
+    Field names are of any case, fields may be folded. A ValueError says that the archive ends inside a record, that a
+    head is longer than HEAD_BYTES, or that a record has no length or does not end where its length says.
+    """
     held, parts = bytearray(), iter(parts)
 
     def have(n):
@@ -84,13 +112,18 @@ def records(parts):
         return True
 
     while have(1):
-        while (end := held.find(b"\r\n\r\n")) < 0:
+        sought = 0
+        while (end := held.find(b"\r\n\r\n", sought)) < 0:
+            sought = max(0, len(held) - 3)
+            if len(held) > HEAD_BYTES:
+                raise ValueError("a record's head does not end")
             if not have(len(held) + 1):
                 raise ValueError("the archive ends inside a record's head")
-        n = int(re.search(rb"\r\nContent-Length: *(\d+)", held[:end], re.IGNORECASE)[1])
-        total = end + 4 + n + 4
+        total = end + 4 + _length(_fields(bytes(held[:end]))) + 4
         if not have(total):
             raise ValueError("the archive ends inside a record")
+        if held[total - 4 : total] != b"\r\n\r\n":
+            raise ValueError("a record does not end where its length says")
         yield bytes(held[:total])
         del held[:total]
 
@@ -98,8 +131,8 @@ def records(parts):
 def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Head fields by lower-case name, and the block."""
     head, _, block = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return {k.lower(): v for k, v in fields.items()}, block[: int(fields["Content-Length"])]
+    fields = _fields(head)
+    return fields, block[: _length(fields)]
 
 
 def member(raw: bytes, level: int = LEVEL) -> bytes:
@@ -146,6 +179,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Of records whose payloads are equal and have ``least_revisit_bytes`` or more, those with the smallest id are
     responses and the others revisit it; smaller payloads are always responses. A null html is an empty payload. A null
     id is never the smallest; equal payloads under null ids only are all responses. Repeated rows get a record each.
+    Ids are whole numbers; other columns are not read, and columns may have any further names. A very long payload is
+    one record of its archive, held whole by its task. An empty table writes no archive and gives an empty manifest.
 
     Equal payloads meet as digests only, aggregated before the shuffle; the join of digests has narrow rows and AQE can
     split it. A payload travels once, by its own id. Attempts of a task write files of their own and the manifest, a
@@ -177,7 +212,7 @@ def _normalise(folder: str, to: str, level: int):
                         own = member(raw, level)
                         out.write(own)
                         fields, _ = parsed(raw)
-                        index.append(f"{offset} {len(own)} {fields['warc-type']} {fields['warc-record-id']}\n")
+                        index.append(f"{offset} {len(own)} {fields.get('warc-type', '-')} {fields.get('warc-record-id', '-')}\n")
                         offset += len(own)
                 with out_files.open_output_stream(posixpath.join(out_root, f"{name}.idx"), compression=None) as out:
                     out.write("".join(index).encode())
@@ -188,7 +223,9 @@ def _normalise(folder: str, to: str, level: int):
 
 def normalise(manifest: DataFrame, folder: str, to: str, level: int = LEVEL) -> DataFrame:
     """Rewrites the archives that ``manifest`` names, however compressed, record by record under ``to``, each with its
-    sidecar index ``<archive>.idx``; the new manifest comes back. A task inflates its stream once and holds one record."""
+    sidecar index ``<archive>.idx``; the new manifest comes back. A task inflates its stream once and holds one record.
+    Records of any type and writer are kept as they are; a cut or damaged archive raises ValueError (see ``inflated``
+    and ``records``)."""
     tasks = max(1, min(manifest.count(), 1 << 14))
     return staged(manifest.select("path").repartition(tasks).mapInArrow(_normalise(folder, to, level), MANIFEST), "members")
 
@@ -196,14 +233,20 @@ def normalise(manifest: DataFrame, folder: str, to: str, level: int = LEVEL) ->
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _row(raw: bytes) -> tuple:
+def _row(raw: bytes) -> tuple | None:
     fields, block = parsed(raw)
+    kind = fields.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
     http, _, payload = block.partition(b"\r\n\r\n")
-    kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response" and base32_sha1(payload) != digest:
-        raise ValueError(f"{fields['warc-record-id']}: the payload does not have its digest")
-    size = len(payload) if kind == "response" else int(re.search(rb"Content-Length: (\d+)", http)[1])
-    return _page_id(fields["warc-record-id"]), size, digest, kind, _page_id(fields["warc-refers-to"]) if kind == "revisit" else None
+    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    if kind == "revisit":
+        size = _fields(http).get("content-length", "")
+        return _page_id(fields.get("warc-record-id", "")), int(size) if size.isdecimal() else None, stated, kind, _page_id(fields.get("warc-refers-to", ""))
+    digest = base32_sha1(payload)
+    if stated not in (None, digest, hashlib.sha1(payload).hexdigest()) and ":" not in stated:
+        raise ValueError(f"{fields.get('warc-record-id')}: the payload does not have its digest")
+    return _page_id(fields.get("warc-record-id", "")), len(payload), digest, kind, None
 
 
 def _read(folder: str, rows_at_once: int = 4096):
@@ -221,7 +264,8 @@ def _read(folder: str, rows_at_once: int = 4096):
                     rows = []
                     for line in index:
                         offset, length, _ = line.split(" ", 2)
-                        rows.append(_row(zlib.decompress(archive.read_at(int(length), int(offset)), 31)))
+                        if (row := _row(zlib.decompress(archive.read_at(int(length), int(offset)), 31))) is not None:
+                            rows.append(row)
                         if len(rows) == rows_at_once:
                             yield batch_of(rows)
                             rows = []
@@ -232,10 +276,12 @@ def _read(folder: str, rows_at_once: int = 4096):
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) of all records, read by their offsets.
+    """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to) of responses and revisits, read by offsets.
 
-    The digest is the bare base32 SHA-1 of the full payload, checked against the payload of each response; a revisit's
-    size is that of the full payload, from its HTTP head. refers_to is null for responses.
+    The digest is the bare base32 SHA-1 of the full payload, checked against the one that a response states as SHA-1;
+    a revisit's digest and size are those of the full payload, from its head and its HTTP head, null where it states
+    none. refers_to is null for responses. Records of other types (an archive's own description, requests) are passed
+    over, and ids that other writers gave come back null. An empty manifest gives an empty result.
     """
     tasks = max(1, min(manifest.count(), 1 << 14))
     return manifest.select("path").repartition(tasks).mapInArrow(_read(folder), _READ)

@@ -1,5 +1,7 @@
 import gzip
+import hashlib
 import io
+import zlib
 
 import pyarrow.fs
 import pytest
@@ -64,3 +66,59 @@ def test_streams_of_any_cut():
             assert list(warc.records(warc.inflated(io.BytesIO(stream), chunk))) == raw
     with pytest.raises(ValueError):
         list(warc.records([b"".join(raw)[:-9]]))
+
+
+def test_cut_streams_raise():
+    raw = [warc.record(k, "u", b"<p>" * k, 3 * k, warc.base32_sha1(b"<p>" * k), None, False) for k in range(50)]
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+    flushed = squeeze.compress(b"".join(raw[:20])) + squeeze.flush(zlib.Z_FULL_FLUSH)
+    whole = flushed + squeeze.compress(b"".join(raw[20:])) + squeeze.flush()
+    assert list(warc.records(warc.inflated(io.BytesIO(whole)))) == raw
+    members = b"".join(map(gzip.compress, raw))
+    for cut in (flushed, whole[:-8], whole[:-1], members[:-1], members[:-8], members + gzip.compress(b"x")[:5]):
+        for chunk in (1, 7, 100_000):
+            with pytest.raises(ValueError):
+                list(warc.records(warc.inflated(io.BytesIO(cut), chunk)))
+    assert list(warc.records(warc.inflated(io.BytesIO(members + bytes(700)), 64))) == raw  # padded
+    squashed = gzip.compress(warc.record(1, "u", bytes(5_000_000), 5_000_000, "x", None, False))
+    assert sum(map(len, warc.inflated(io.BytesIO(squashed), 1000))) > 5_000_000
+
+
+def test_records_of_other_writers(spark):
+    block = b"HTTP/1.1 200 OK\r\ncontent-length: 5\r\n\r\nhello"
+
+    def foreign(kind, *fields, body=block):
+        return b"\r\n".join([b"WARC/1.0", b"warc-type:" + kind, *fields, b"CONTENT-LENGTH: %d" % len(body)]) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    hexed = hashlib.sha1(b"hello").hexdigest().encode()
+    raw = [
+        foreign(b"warcinfo", b"WARC-Filename: a.warc\r\n  folded on\r\n\tand on", body=b"software: other"),
+        foreign(b"request", b"WARC-Record-ID: <urn:uuid:1>", body=b"GET / HTTP/1.1"),
+        foreign(b"response", b"WARC-Record-ID: <urn:uuid:2>"),
+        foreign(b"response", b"WARC-Payload-Digest: sha1:" + hexed),
+        foreign(b"response", b"WARC-Payload-Digest: md5:0123"),
+        foreign(b"revisit", b"WARC-Refers-To: <urn:uuid:2>", body=b""),
+    ]
+    assert warc.parsed(raw[0])[0]["warc-filename"] == "a.warc folded on and on"
+    source, members = new_path(spark, "foreign"), new_path(spark, "members")
+    files, root = pyarrow.fs.FileSystem.from_uri(source)
+    files.create_dir(root)
+    with files.open_output_stream(f"{root}/a.warc.gz", compression=None) as out:
+        out.write(gzip.compress(b"".join(raw)))
+    done = warc.normalise(spark.createDataFrame([("a.warc.gz",)], "path string"), source, members)
+    assert done.first().n_records == len(raw)
+    digest = warc.base32_sha1(b"hello")
+    found = sorted((tuple(r) for r in warc.read_archives(done, members).collect()), key=str)
+    assert found == sorted([(None, 5, digest, "response", None)] * 3 + [(None, None, None, "revisit", None)], key=str)
+    bad = foreign(b"response", b"WARC-Payload-Digest: sha1:" + warc.base32_sha1(b"other").encode())
+    with pytest.raises(ValueError):
+        warc._row(bad)
+
+
+def test_heads_without_end_or_length():
+    with pytest.raises(ValueError, match="no content length"):
+        list(warc.records([b"WARC/1.0\r\nWARC-Type: response\r\n\r\nabc\r\n\r\n"]))
+    with pytest.raises(ValueError, match="does not end"):
+        list(warc.records(b"x" * 60_000 for _ in range(1000)))
+    with pytest.raises(ValueError, match="length says"):
+        list(warc.records([b"WARC/1.0\r\nContent-Length: 2\r\n\r\nabc\r\n\r\n"]))
