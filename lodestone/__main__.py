@@ -1,10 +1,13 @@
 """Command line: build a graph, keep an index of it, and ask it.
 
-    python -m lodestone build DIR [--json OUT]
+    python -m lodestone build DIR [--json OUT] [--json-lines OUT]
     python -m lodestone index DIR INDEX
+    python -m lodestone sync DIR INDEX            (index, then what it did as JSON)
+    python -m lodestone list HOME                  (the indexes in a folder)
     python -m lodestone status INDEX
     python -m lodestone ask INDEX TOOL [KEY=VALUE ...]
     python -m lodestone watch DIR INDEX
+    python -m lodestone serve INDEX                (tools over standard input and output)
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ import sys
 import time
 
 from lodestone.errors import ToolkitError
-from lodestone.operators.store import ParquetStore, build_code_graph
+from lodestone.operators.store import ParquetStore, build_code_graph, list_indexes
 from lodestone.operators.tools import graph_capability
 from lodestone.runtime import Runtime, collect_tools
+from lodestone.serving import Server
 from lodestone.streaming.watch import Served, Watcher
 
 
@@ -33,16 +37,37 @@ def _build(spark, args) -> None:
     began = time.time()
     graph = build_code_graph(spark, args.dir, store=ParquetStore(spark, args.index) if args.command == "index" else None, on_stats=lambda s: print(f"files {s.files}, parsed {s.parsed}, reused {s.reused}, deleted {s.deleted}"))
     if getattr(args, "json", None):
-        graph.write_json(args.json)
+        with open(args.json, "w", encoding="utf-8") as out:
+            out.write(graph.to_json())
+    if getattr(args, "json_lines", None):
+        graph.write_json(args.json_lines)
     for row in graph.language_histogram().orderBy("language").collect():
         print(f"{row.language:12} {row.n}")
     print(f"{graph.nodes().count()} nodes, {graph.edges().count()} edges in {time.time() - began:.1f} s")
 
 
-def _ask(spark, args) -> None:
-    graph = ParquetStore(spark, args.index).load_graph()
+def _sync(spark, args) -> None:
+    """Brings an index up to date; says nothing but what it did."""
+    store, seen = ParquetStore(spark, args.index), []
+    before = store.version()
+    build_code_graph(spark, args.dir, store=store, on_stats=seen.append)
+    print(json.dumps({"files": seen[0].files, "parsed": seen[0].parsed, "reused": seen[0].reused, "deleted": seen[0].deleted, "from": before, "to": store.version(), "removed": store.vacuum()}))
+
+
+def _loaded(spark, index: str):
+    graph = ParquetStore(spark, index).load_graph()
     if graph is None:
-        raise ToolkitError("CODEGRAPH_INDEX_UNREADABLE", f"no graph in {args.index}")
+        raise ToolkitError("CODEGRAPH_INDEX_UNREADABLE", f"no graph in {index}")
+    return graph
+
+
+def _serve(spark, args) -> None:
+    runtime = Runtime(collect_tools([graph_capability(_loaded(spark, args.index))]), spark=spark)
+    Server(runtime).serve(sys.stdin, sys.stdout)
+
+
+def _ask(spark, args) -> None:
+    graph = _loaded(spark, args.index)
     given = {}
     for pair in args.given:
         key, _, text = pair.partition("=")
@@ -76,12 +101,15 @@ def main(argv: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     one = commands.add_parser("build")
     one.add_argument("dir")
-    one.add_argument("--json")
-    for name in ("index", "watch"):
+    one.add_argument("--json", help="one document")
+    one.add_argument("--json-lines", help="two folders, for a graph of any size")
+    for name in ("index", "sync", "watch"):
         one = commands.add_parser(name)
         one.add_argument("dir")
         one.add_argument("index")
-    commands.add_parser("status").add_argument("index")
+    commands.add_parser("list").add_argument("home")
+    for name in ("status", "serve"):
+        commands.add_parser(name).add_argument("index")
     one = commands.add_parser("ask")
     one.add_argument("index")
     one.add_argument("tool")
@@ -93,8 +121,15 @@ def main(argv: list[str] | None = None) -> int:
             _build(spark, args)
         elif args.command == "status":
             print(json.dumps(ParquetStore(spark, args.index).status().first().asDict(), indent=2))
+        elif args.command == "list":
+            for row in list_indexes(spark, args.home).toJSON().collect():
+                print(row)
         elif args.command == "ask":
             _ask(spark, args)
+        elif args.command == "sync":
+            _sync(spark, args)
+        elif args.command == "serve":
+            _serve(spark, args)
         else:
             _watch(spark, args)
     except ToolkitError as error:

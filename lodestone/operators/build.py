@@ -11,7 +11,7 @@ import posixpath
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.languages import languages_table
@@ -24,8 +24,13 @@ _PHASE, _FILE = 1 << 58, 1 << 24
 #: Fixed value: extensions that an import of a script may leave out, in order.
 _SCRIPT_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts")
 
-_DEFS = "file_no long, path string, language string, nth int, id string, name string, kind string, start_line int, end_line int, owner string"
-_REFS = "file_no long, path string, language string, nth int, name string, line int, receiver string, is_new boolean, src string, own_class string, receiver_type string"
+#: Files whose rows a task gives at once.
+_FILES_AT_ONCE = 64
+_LOCAL = pa.schema(
+    [("file_no", pa.int64()), *((c, pa.string()) for c in ("path", "language")), ("nth", pa.int32()), ("is_def", pa.bool_()), *((c, pa.string()) for c in ("id", "name", "kind")), ("start_line", pa.int32()), ("end_line", pa.int32()), ("owner", pa.string()),
+     ("line", pa.int32()), ("receiver", pa.string()), ("is_new", pa.bool_()), *((c, pa.string()) for c in ("src", "own_class", "receiver_type"))]
+)
+_LOCAL_TYPES = "file_no long, path string, language string, nth int, is_def boolean, id string, name string, kind string, start_line int, end_line int, owner string, line int, receiver string, is_new boolean, src string, own_class string, receiver_type string"
 
 
 def file_id(path: str) -> str:
@@ -84,33 +89,21 @@ def _local(facts: dict, path: str) -> tuple[list[tuple], list[tuple]]:
     return defs, refs
 
 
-def _rows(which: int, kinds: list[pa.DataType], names: list[str]):
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                facts = one.column("facts")[0].as_py()
-                if facts is None:
-                    continue
-                head = tuple(one.column(c)[0].as_py() for c in ("file_no", "path", "language"))
-                rows = [(*head, *r) for r in _local(facts, head[1])[which]]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+def _local_batches(batches):
+    for batch in batches:
+        for k in range(0, batch.num_rows, _FILES_AT_ONCE):
+            rows = []
+            for number, path, language, facts in zip(*(c.to_pylist() for c in batch.slice(k, _FILES_AT_ONCE).columns)):
+                defs, refs = _local(facts, path)
+                rows += [(number, path, language, nth, True, *d, None, None, None, None, None, None) for nth, *d in defs]
+                rows += [(number, path, language, nth, False, None, name, None, None, None, None, *r) for nth, name, *r in refs]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LOCAL)], _LOCAL.names)
 
-    return run
 
-
-_TEXT, _INT, _LONG = pa.string(), pa.int32(), pa.int64()
-
-
-def definitions(files: DataFrame) -> DataFrame:
-    kinds = [_LONG, _TEXT, _TEXT, _INT, _TEXT, _TEXT, _TEXT, _INT, _INT, _TEXT]
-    return files.select("file_no", "path", "language", "facts").mapInArrow(_rows(0, kinds, [c.split()[0] for c in _DEFS.split(", ")]), _DEFS)
-
-
-def references(files: DataFrame) -> DataFrame:
-    kinds = [_LONG, _TEXT, _TEXT, _INT, _TEXT, _INT, _TEXT, pa.bool_(), _TEXT, _TEXT, _TEXT]
-    return files.select("file_no", "path", "language", "facts").mapInArrow(_rows(1, kinds, [c.split()[0] for c in _REFS.split(", ")]), _REFS)
+def local_rows(files: DataFrame) -> DataFrame:
+    """Definition and reference rows of all files, told apart by is_def: one pass over the facts."""
+    return files.select("file_no", "path", "language", "facts").mapInArrow(_local_batches, _LOCAL_TYPES)
 
 
 def import_candidates(style: str, path: str, raw: str) -> list[str]:
@@ -133,18 +126,38 @@ def import_candidates(style: str, path: str, raw: str) -> list[str]:
     return []
 
 
+def _segments(path: Column) -> Column:
+    """The segments of a relative path without empty ones and dots; ``..`` takes away the one before it."""
+    real = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    up = lambda kept, x: (x == "..") & (F.size(kept) > 0) & (F.element_at(kept, -1) != "..")
+    return F.aggregate(real, F.array().cast("array<string>"), lambda kept, x: F.when(up(kept, x), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(F.concat(kept, F.array(x))))
+
+
+def _joined(segments: Column) -> Column:
+    return F.when(F.size(segments) == 0, F.lit(".")).otherwise(F.array_join(segments, "/"))
+
+
+def candidates_column(style: Column, path: Column, raw: Column) -> Column:
+    """``import_candidates`` in expressions."""
+    folder = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+    script = _segments(F.array_join(F.concat(folder, F.array(raw)), "/"))
+    base = F.concat(_joined(script), F.when(F.endswith(raw, F.lit("/")), F.lit("/")).otherwise(F.lit("")))
+    inside = _joined(script)
+    esm = F.array(base, *(F.concat(base, F.lit(e)) for e in _SCRIPT_EXTENSIONS), *(F.when(inside == ".", F.lit(f"index{e}")).otherwise(F.concat(inside, F.lit(f"/index{e}"))) for e in _SCRIPT_EXTENSIONS))
+    dots = F.length(F.regexp_extract(raw, r"^\.*", 0))
+    named = F.replace(F.substr(raw, dots + 1), F.lit("."), F.lit("/"))
+    above = F.slice(folder, F.lit(1), F.greatest(F.size(folder) - dots + 1, F.lit(0)))
+    module = F.when(dots == 0, named).when(named != "", _joined(_segments(F.array_join(F.concat(above, F.array(named)), "/")))).otherwise(_joined(above))
+    package = _joined(_segments(F.concat(module, F.lit("/__init__.py"))))
+    python = F.array(F.concat(module, F.lit(".py")), package)
+    return F.when((style == "esm-relative") & F.startswith(raw, F.lit(".")), esm).when(style == "python", python)
+
+
 def resolve_imports(files: DataFrame) -> DataFrame:
     """Rows (file_no, path, nth, target): the first candidate of each import that is a scanned file."""
     styles = languages_table(files.sparkSession).select("language", "import_style").distinct()
     rows = files.select("file_no", "path", "language", F.posexplode("facts.imports.raw").alias("nth", "raw")).join(F.broadcast(styles), "language").where("import_style <> 'none'")
-
-    @F.pandas_udf("array<string>")
-    def candidates(style, path, raw):
-        import pandas as pd
-
-        return pd.Series([import_candidates(*x) for x in zip(style, path, raw)])
-
-    ways = rows.select("file_no", "path", "nth", F.posexplode(candidates("import_style", "path", "raw")).alias("choice", "target"))
+    ways = rows.select("file_no", "path", "nth", F.posexplode(candidates_column(F.col("import_style"), F.col("path"), F.col("raw"))).alias("choice", "target"))
     return ways.join(files.select(F.col("path").alias("target")), "target").groupBy("file_no", "path", "nth").agg(F.min_by("target", "choice").alias("target"))
 
 
@@ -219,8 +232,9 @@ def graph_of(files: DataFrame) -> CodeGraph:
     spark = files.sparkSession
     family = languages_table(spark).select("language", "family").distinct()
     files = files.where("facts is not null")
-    defs = staged(definitions(files).join(F.broadcast(family), "language"), "definitions")
-    refs = staged(references(files).join(F.broadcast(family), "language"), "references")
+    local = staged(local_rows(files).join(F.broadcast(family), "language"), "local", "is_def")
+    defs = local.where("is_def").select("file_no", "path", "language", "family", "nth", "id", "name", "kind", "start_line", "end_line", "owner")
+    refs = local.where("not is_def").select("file_no", "path", "language", "family", "nth", "name", "line", "receiver", "is_new", "src", "own_class", "receiver_type")
     imports = staged(resolve_imports(files), "imports")
     none = lambda kind: F.lit(None).cast(kind)
     place = F.col("file_no") * _FILE

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.schema import EDGES, NODES
 from lodestone.staging import staged
 
 DEFAULT_DEPTH, DEFAULT_NODES = 5, 200
@@ -16,15 +18,12 @@ DEFAULT_DEPTH, DEFAULT_NODES = 5, 200
 TEST_FILE = r"(?i)(\.test\.|\.spec\.|_test\.|_spec\.|/tests?/|/__tests__/)"
 
 
-def nonnegative(limit: int | None) -> int | None:
-    """List queries take their first rows; a negative limit has no meaning here and is refused."""
-    if limit is not None and limit < 0:
-        raise ValueError("limit must not be negative")
-    return limit
-
-
 def first_rows(df: DataFrame, limit: int | None, *order) -> DataFrame:
-    return df if nonnegative(limit) is None else df.orderBy(*order).limit(limit)
+    """The first ``limit`` rows in ``order``, all where it is None. A negative limit leaves out so many of the last rows,
+    for which they are counted."""
+    if limit is None:
+        return df
+    return df.orderBy(*order).limit(limit if limit >= 0 else max(0, df.count() + limit))
 
 
 @dataclass(frozen=True)
@@ -96,11 +95,12 @@ class CodeGraph:
         return first_rows(found, limit, "ord")
 
     def ids_for(self, id_or_name: str) -> DataFrame:
-        """Column id: the node of this id, else all symbols of this name."""
-        own = self.raw_nodes.where(F.col("id") == id_or_name).select("id")
-        if not own.isEmpty():
-            return own.distinct()
-        return self.find_definition(id_or_name).select("id").distinct()
+        """Column id: the node of this id, else all symbols of this name. Nothing runs while it is planned; what says
+        whether the id exists is one row, and sent as such."""
+        own = self.raw_nodes.where(F.col("id") == id_or_name).select("id").limit(1)
+        named = self.find_definition(id_or_name).select("id").distinct()
+        there = F.broadcast(own.select(F.lit(id_or_name).alias("asked")))
+        return own.unionByName(named.withColumn("asked", F.lit(id_or_name)).join(there, "asked", "left_anti").select("id"))
 
     def _ends(self, edges: DataFrame, at: str, to: str, ids: DataFrame) -> DataFrame:
         """The nodes at ``to`` of edges whose ``at`` is among ``ids``, each once, ``position`` its first edge's ord."""
@@ -202,14 +202,34 @@ class CodeGraph:
         return self.files().groupBy("language").agg(F.count("*").alias("n"))
 
     def write_json(self, path: str) -> None:
-        """One JSON object a line: nodes and edges in two folders, absent fields left out."""
+        """One JSON object a line: nodes and edges in two folders, absent fields left out. For graphs of any size."""
         self.raw_nodes.write.mode("overwrite").json(f"{path}/nodes")
         self._edges.write.mode("overwrite").json(f"{path}/edges")
 
+    def to_json(self, most: int = 1_000_000) -> str:
+        """One document ``{"nodes": [...], "edges": [...]}`` in order, each as a caller of the tools sees it. A string lives on the
+        driver, so a graph of more than ``most`` nodes or edges is refused; ``write_json`` takes any."""
+        symbol = F.col("kind") == "symbol"
+        node = F.struct("id", "kind", "name", F.col("symbol_kind").alias("symbolKind"), F.when(symbol, F.col("path")).alias("file"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"), F.when(~symbol, F.col("path")).alias("path"), "language")
+        meta = F.when(F.col("kind") == "calls", F.struct("confidence", F.col("call_kind").alias("kind"), F.col("receiver_type").alias("receiverType"), F.col("call_count").alias("callCount"), "line"))
+        edge = F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "kind", meta.alias("meta"))
+        parts = []
+        for name, table, row in (("nodes", self.nodes(), node), ("edges", self.edges(), edge)):
+            if table.limit(most + 1).count() > most:
+                raise ValueError(f"more than {most} {name}: write_json takes them")
+            parts.append(f'"{name}":[{",".join(r[0] for r in table.orderBy("ord").select(F.to_json(row)).toLocalIterator())}]')
+        return "{" + ",".join(parts) + "}"
+
     @classmethod
-    def read_json(cls, spark, path: str, unique_ids: bool = False) -> CodeGraph:
-        from lodestone.schema import EDGES, NODES
+    def from_json(cls, spark, text: str) -> CodeGraph:
+        """The graph of a ``to_json`` document."""
+        found = json.loads(text)
+        nodes = [(n["id"], n["kind"], n.get("name"), n.get("symbolKind"), n.get("file", n.get("path")), n.get("language"), n.get("startLine"), n.get("endLine"), k) for k, n in enumerate(found["nodes"])]
+        edges = [(e["from"], e["to"], e["kind"], *((e.get("meta") or {}).get(m) for m in ("confidence", "kind", "receiverType", "callCount", "line")), k) for k, e in enumerate(found["edges"])]
+        return cls(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES))
 
+    @classmethod
+    def read_json(cls, spark, path: str, unique_ids: bool = False) -> CodeGraph:
         return cls(spark.read.schema(NODES).json(f"{path}/nodes"), spark.read.schema(EDGES).json(f"{path}/edges"), unique_ids)
 
 

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.staging import discard, staged
+from lodestone.staging import discard, numbered, staged
 
 DAMPING, ITERATIONS, TOLERANCE, LIMIT = 0.85, 50, 1e-6, 20
-#: Links up to which the ranks are computed in one numpy kernel: 16 bytes each, 64 MB.
+#: Links and nodes up to which the ranks are computed in one numpy kernel on the driver: 8 bytes a link as they come,
+#: some 40 at work, and 40 a node, together 320 MB at most.
 KERNEL_LINKS = 4_000_000
 
 
-def resolve_seeds(graph, seeds: list[str]) -> DataFrame:
-    """Column id: for each seed the node of that id, else symbols of that name and files of that path."""
-    spark = graph.spark
-    wanted = spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "seed string")
+def resolve_seeds(graph, seeds: list[str] | DataFrame) -> DataFrame:
+    """Column id: for each seed (texts, or a table with a column seed) the node of that id, else symbols of that name and
+    files of that path."""
+    wanted = seeds.select("seed").distinct() if isinstance(seeds, DataFrame) else graph.spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "seed string")
     nodes = graph.raw_nodes.select("id", "kind", "name", "path")
     exact = wanted.join(nodes, wanted.seed == nodes.id).select("seed", "id")
     rest = wanted.join(exact.select("seed"), "seed", "left_anti")
@@ -39,16 +39,19 @@ def _kernel(n: int, src: np.ndarray, dst: np.ndarray, teleport: np.ndarray, iter
     return rank
 
 
-def _small(nodes: DataFrame, links: DataFrame, seeds: DataFrame, iterations: int, tolerance: float) -> DataFrame:
-    ids = nodes.toArrow()["id"].combine_chunks()
-    table = links.toArrow()
-    src, dst = (pc.index_in(table[c], value_set=ids).to_numpy().astype(np.int64) for c in ("src", "dst"))
-    chosen = pc.drop_null(pc.index_in(seeds.toArrow()["id"], value_set=ids)).to_numpy()
-    teleport = np.zeros(len(ids))
+def _small(nodes: DataFrame, links: DataFrame, seeds: DataFrame, many: int, iterations: int, tolerance: float) -> DataFrame:
+    """All rounds in one kernel on the driver. Only numbers reach it, 8 bytes a link; ids stay in Spark."""
+    known = staged(numbered(nodes.select("id"), "n"), "numbered")
+    ends = [known.select(F.col("id").alias(c), F.col("n").cast("int").alias(f"{c}_n")) for c in ("src", "dst")]
+    table = links.join(ends[0], "src").join(ends[1], "dst").select("src_n", "dst_n").toArrow()
+    src, dst = (table[c].to_numpy() for c in ("src_n", "dst_n"))
+    chosen = known.join(seeds, "id", "left_semi").select("n").toArrow()["n"].to_numpy()
+    teleport = np.zeros(many)
     teleport[chosen] = 1
-    teleport = teleport / teleport.sum() if len(chosen) else np.full(len(ids), 1 / len(ids))
-    rank = _kernel(len(ids), src, dst, teleport, iterations, tolerance)
-    return nodes.sparkSession.createDataFrame(pa.table({"id": ids, "score": rank}), "id string, score double")
+    teleport = teleport / teleport.sum() if len(chosen) else np.full(many, 1 / many)
+    rank = _kernel(many, src, dst, teleport, iterations, tolerance)
+    scores = nodes.sparkSession.createDataFrame(pa.table({"n": np.arange(many), "score": rank}), "n long, score double")
+    return known.join(scores, "n").select("id", "score")
 
 
 def _large(nodes: DataFrame, links: DataFrame, seeds: DataFrame, n: int, iterations: int, tolerance: float) -> DataFrame:
@@ -74,7 +77,7 @@ def _large(nodes: DataFrame, links: DataFrame, seeds: DataFrame, n: int, iterati
     return rank.select("id", "score")
 
 
-def pagerank(graph, seeds: list[str] | None = None, limit: int | None = LIMIT, kind: str | None = None, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, kernel_links: int = KERNEL_LINKS) -> DataFrame:
+def pagerank(graph, seeds: list[str] | DataFrame | None = None, limit: int | None = LIMIT, kind: str | None = None, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, kernel_links: int = KERNEL_LINKS) -> DataFrame:
     """Node columns and score, the ``limit`` best by score, then id; of one node kind if ``kind`` is given.
 
     All edge kinds count and parallel edges count again; edges with an end that is no node do not. Idle nodes give
@@ -85,12 +88,12 @@ def pagerank(graph, seeds: list[str] | None = None, limit: int | None = LIMIT, k
     nodes, edges = graph.nodes().select("id"), graph.edges()
     ends = [nodes.withColumnRenamed("id", c) for c in ("src", "dst")]
     links = staged(edges.select("src", "dst").join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi"), "links")
-    found = resolve_seeds(graph, seeds or [])
+    found = resolve_seeds(graph, [] if seeds is None else seeds)
     n, many = nodes.count(), links.count()
     if n == 0:
         return graph.nodes().withColumn("score", F.lit(0.0))
     small = many <= kernel_links and n <= kernel_links
-    scores = _small(nodes, links, found, iterations, tolerance) if small else _large(nodes, links, found, n, iterations, tolerance)
+    scores = _small(nodes, links, found, n, iterations, tolerance) if small else _large(nodes, links, found, n, iterations, tolerance)
     ranked = graph.nodes().join(scores, "id")
     if kind:
         ranked = ranked.where(F.col("kind") == kind)

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.graph import CodeGraph
 
+#: How many sources and lines of each a context has, the letters of the shortest word that counts, and what
+#: stands between two sources.
 SNIPPETS, SNIPPET_LINES, LEAST_WORD = 6, 60, 4
+HEADING_RULE = "\n\n---\n\n"
 
 
 def question_words(question: str, least: int = LEAST_WORD) -> list[str]:
@@ -44,8 +47,14 @@ def snippets(ranked: DataFrame, contents: DataFrame) -> DataFrame:
     return rows.withColumn("where", where).withColumn("snippet", line_slice(F.col("__text"), F.col("start_line"), last)).drop("__text")
 
 
+def context_rows(graph: CodeGraph, contents: DataFrame, question: str, limit: int = SNIPPETS) -> DataFrame:
+    """The best symbols for a question, each with where it is and its lines. Names that share a word with the question
+    are the seeds; they stay a table however many match."""
+    seeds = match_names(graph.symbols(), question_words(question)).select(F.col("name").alias("seed"))
+    return snippets(graph.ranked_context(seeds=seeds, kind="symbol", limit=limit), contents)
+
+
 def answer_context(graph: CodeGraph, contents: DataFrame, question: str, limit: int = SNIPPETS) -> str:
-    """The text to give a model with the question: the best symbols' sources, parted by rules."""
-    seeds = [r.name for r in match_names(graph.symbols(), question_words(question)).collect()]
-    found = snippets(graph.ranked_context(seeds=seeds, kind="symbol", limit=limit), contents).orderBy(F.desc("score"), "id").collect()
-    return "\n\n---\n\n".join(f"// {r['where']} — {r['name']} ({r['symbol_kind']})\n{r['snippet']}" for r in found)
+    """The text to give a model with the question: ``limit`` sources, the best first, under headings, parted by rules."""
+    found = context_rows(graph, contents, question, limit).orderBy(F.desc("score"), "id").collect()
+    return HEADING_RULE.join(f"// {r['where']} — {r['name']} ({r['symbol_kind']})\n{r['snippet']}" for r in found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from lodestone.parsing.facts import Facts
 from lodestone.parsing.lexer import Tokens, lex
@@ -67,19 +68,24 @@ class _Reader:
         k = self.body(k)
         return self.t.close(k) if self.t.text(k) == "{" else k
 
+    @cached_property
+    def _angles(self) -> dict[int, int]:
+        """The end of each ``<`` that encloses type arguments, however many; a mark that can't be inside ends the open ones."""
+        ends, opened = {}, []
+        for k in range(len(self.t)):
+            mark = self.t.text(k)
+            if mark == "<":
+                opened.append(k)
+            elif mark and set(mark) == {">"}:
+                for _ in mark[: len(opened)]:
+                    ends[opened.pop()] = k
+            elif opened and mark in (";", "{", "}", ")", "&&", "||"):
+                opened.clear()
+        return ends
+
     def angle_end(self, k: int) -> int:
         """Behind type arguments that begin at ``k``, or ``k`` where there are none."""
-        if self.t.text(k) != "<":
-            return k
-        depth = 0
-        for j in range(k, min(k + 64, len(self.t))):
-            mark = self.t.text(j)
-            depth += (mark == "<") - mark.count(">") * (set(mark) == {">"})
-            if depth <= 0:
-                return j + 1
-            if mark in (";", "{", "}", ")", "&&", "||"):
-                break
-        return k
+        return self._angles[k] + 1 if k in self._angles else k
 
     def receiver(self, dot: int) -> str | None:
         """The word before the dot, if that is the whole expression there."""
@@ -254,13 +260,19 @@ class _Script(_Reader):
         t = self.t
         if word == "import" and t.text(k + 1) in ("(", "."):
             return
-        for j in range(k + 1, min(k + 400, len(t))):
+        j = k + 1
+        while j < len(t):
+            if t.text(j) == "{" and t[j].kind == "mark":  # a list of names, however long
+                j = t.close(j) + 1
+                if t.text(j) != "from":
+                    return
             if t[j].kind == "string":
                 if t.text(j - 1) == "from" or word == "import" and j == k + 1:
                     self.facts.take(0 if word == "import" else 1, t[j].text, t[j].start)
                 return
             if t.text(j) in (";", "=", "(") or word == "export" and t.word(j) and t.text(j) in ("const", "let", "var", "function", "class", "interface", "type", "enum", "default", "abstract", "async", "declare") and t.text(j + 1) not in ("{", "*") and j == k + 1:
                 return
+            j += 1
 
     def members(self) -> None:
         """Methods of classes and object literals, fields of classes."""

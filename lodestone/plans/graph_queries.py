@@ -187,36 +187,44 @@ def _pagerank_global(spark, sf_dir):
     return found.select("id", F.round("score", 10).alias("score"))
 
 
-_SEEDS = "id = 'o:7' OR name = 'Supplier#000000003' OR path = 'geo/NATION_1'"
+SEEDS = ["o:7", "Supplier#000000003", "geo/NATION_1"]
+SEEDS_SQL = "id = 'o:7' OR name = 'Supplier#000000003' OR path = 'geo/NATION_1'"
 
 
-@register("pagerank_personalized", f"{pagerank_sql(_SEEDS, _ROUNDS)} SELECT id, name, path, round(score, 10) AS score FROM k{_ROUNDS} JOIN nodes USING (id) ORDER BY k{_ROUNDS}.score DESC, id LIMIT 20")
+@register("pagerank_personalized", f"{pagerank_sql(SEEDS_SQL, _ROUNDS)} SELECT id, name, path, round(score, 10) AS score FROM k{_ROUNDS} JOIN nodes USING (id) ORDER BY k{_ROUNDS}.score DESC, id LIMIT 20")
 def _pagerank_personalized(spark, sf_dir):
-    found = graph(spark, sf_dir).ranked_context(seeds=["o:7", "Supplier#000000003", "geo/NATION_1"], iterations=_ROUNDS, tolerance=0.0)
+    found = graph(spark, sf_dir).ranked_context(seeds=SEEDS, iterations=_ROUNDS, tolerance=0.0)
     return found.select("id", "name", "path", F.round("score", 10).alias("score"))
 
 
-@register("ranked_context_files", f"{pagerank_sql(_SEEDS, _ROUNDS)} SELECT id, path, round(score, 10) AS score FROM k{_ROUNDS} JOIN nodes USING (id) WHERE kind = 'file' ORDER BY k{_ROUNDS}.score DESC, id LIMIT 6")
+@register("ranked_context_files", f"{pagerank_sql(SEEDS_SQL, _ROUNDS)} SELECT id, path, round(score, 10) AS score FROM k{_ROUNDS} JOIN nodes USING (id) WHERE kind = 'file' ORDER BY k{_ROUNDS}.score DESC, id LIMIT 6")
 def _ranked_context_files(spark, sf_dir):
-    found = graph(spark, sf_dir).ranked_context(seeds=["o:7", "Supplier#000000003", "geo/NATION_1"], kind="file", limit=6, iterations=_ROUNDS, tolerance=0.0)
+    found = graph(spark, sf_dir).ranked_context(seeds=SEEDS, kind="file", limit=6, iterations=_ROUNDS, tolerance=0.0)
     return found.select("id", "path", F.round("score", 10).alias("score"))
 
 
+@register("pagerank_distributed", f"{pagerank_sql(SEEDS_SQL, 4)} SELECT id, round(score, 10) AS score FROM k4")
+def _pagerank_distributed(spark, sf_dir):
+    """Rounds as joins and aggregations, as beyond the kernel's size."""
+    found = graph(spark, sf_dir).ranked_context(seeds=SEEDS, limit=None, iterations=4, tolerance=0.0, kernel_links=0)
+    return found.select("id", F.round("score", 10).alias("score"))
+
+
 # The same three at the operator's own rounds and tolerance; on these tables the tolerance ends no run before the last round.
 @register("pagerank_global_full", f"{pagerank_sql('TRUE', ITERATIONS)} SELECT id, round(score, 10) AS score FROM k{ITERATIONS}")
 def _pagerank_global_full(spark, sf_dir):
     return graph(spark, sf_dir).ranked_context(limit=None).select("id", F.round("score", 10).alias("score"))
 
 
-@register("pagerank_personalized_full", f"{pagerank_sql(_SEEDS, ITERATIONS)} SELECT id, name, path, round(score, 10) AS score FROM k{ITERATIONS} JOIN nodes USING (id) ORDER BY k{ITERATIONS}.score DESC, id LIMIT 20")
+@register("pagerank_personalized_full", f"{pagerank_sql(SEEDS_SQL, ITERATIONS)} SELECT id, name, path, round(score, 10) AS score FROM k{ITERATIONS} JOIN nodes USING (id) ORDER BY k{ITERATIONS}.score DESC, id LIMIT 20")
 def _pagerank_personalized_full(spark, sf_dir):
-    found = graph(spark, sf_dir).ranked_context(seeds=["o:7", "Supplier#000000003", "geo/NATION_1"])
+    found = graph(spark, sf_dir).ranked_context(seeds=SEEDS)
     return found.select("id", "name", "path", F.round("score", 10).alias("score"))
 
 
-@register("ranked_context_files_full", f"{pagerank_sql(_SEEDS, ITERATIONS)} SELECT id, path, round(score, 10) AS score FROM k{ITERATIONS} JOIN nodes USING (id) WHERE kind = 'file' ORDER BY k{ITERATIONS}.score DESC, id LIMIT 6")
+@register("ranked_context_files_full", f"{pagerank_sql(SEEDS_SQL, ITERATIONS)} SELECT id, path, round(score, 10) AS score FROM k{ITERATIONS} JOIN nodes USING (id) WHERE kind = 'file' ORDER BY k{ITERATIONS}.score DESC, id LIMIT 6")
 def _ranked_context_files_full(spark, sf_dir):
-    found = graph(spark, sf_dir).ranked_context(seeds=["o:7", "Supplier#000000003", "geo/NATION_1"], kind="file", limit=6)
+    found = graph(spark, sf_dir).ranked_context(seeds=SEEDS, kind="file", limit=6)
     return found.select("id", "path", F.round("score", 10).alias("score"))
 
 
@@ -288,6 +296,3 @@ def _dangling_edges(spark, sf_dir):
 @register("language_histogram", f"{GRAPH_SQL} SELECT language, count(*) AS n FROM nodes WHERE kind = 'file' GROUP BY language")
 def _language_histogram(spark, sf_dir):
     return graph(spark, sf_dir).language_histogram()
-
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from lodestone.functions.messages import bearer_column, block_text, missing_scopes, scopes_column
@@ -10,49 +12,12 @@ from lodestone.operators.retrieval import line_slice, match_names, question_word
 from lodestone.operators.tools import graph_capability
 from lodestone.plans import register
 from lodestone.plans.fkgraph import GRAPH_SQL, graph, table
-from lodestone.plans.graph_queries import impact_sql
+from lodestone.operators.rank import ITERATIONS
+from lodestone.plans.graph_queries import SEEDS, SEEDS_SQL, impact_sql, pagerank_sql
 from lodestone.runtime import Runtime, collect_tools, replay_cache
 from lodestone.staging import new_path
 from lodestone.streaming.spans import fold_spans, stream_spans
 
-_DIFF_SQL = """WITH old AS (SELECT doc_id, sha1(text) AS hash FROM documents WHERE doc_id % 7 <> 0),
-new AS (SELECT doc_id, sha1(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS hash FROM documents WHERE doc_id % 11 <> 0)
-SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.hash = n.hash THEN 'reused' ELSE 'parsed' END AS status FROM old o FULL JOIN new n ON o.doc_id = n.doc_id"""
-
-
-@register("incremental_diff", _DIFF_SQL)
-def _incremental_diff(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    old = docs.where("doc_id % 7 <> 0").select("doc_id", F.sha1("text").alias("old"))
-    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
-    new = docs.where("doc_id % 11 <> 0").select("doc_id", F.sha1(text).alias("new"))
-    status = F.when(F.col("new").isNull(), "deleted").when(F.col("old") == F.col("new"), "reused").otherwise("parsed")
-    return old.join(new, "doc_id", "full").select("doc_id", status.alias("status"))
-
-
-@register("upsert_by_key", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_acctbal * 2 FROM customer WHERE c_custkey % 3 = 0")
-def _upsert_by_key(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    put = rows.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") * 2)
-    return rows.where("c_custkey % 2 = 0").join(put.select("c_custkey"), "c_custkey", "left_anti").unionByName(put)
-
-
-@register("latest_per_key", "SELECT user_id, arg_max(event_id, epoch_ms(ts) * 1000000 + event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id")
-def _latest_per_key(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
-
-
-@register("duplicate_keys", "SELECT p_name, count(DISTINCT p_brand) AS owners FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1")
-def _duplicate_keys(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_name").agg(F.count_distinct("p_brand").alias("owners")).where("owners > 1")
-
-
-@register("document_languages", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
-def _document_languages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-
-
 @register("scope_missing", "SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda x: NOT list_contains(string_split('small red ' || lower(p_type), ' '), x)), ' ') AS missing FROM part")
 def _scope_missing(spark, sf_dir):
     have = F.split(F.concat(F.lit("small red "), F.lower("p_type")), " ")
@@ -115,17 +80,44 @@ def _trace_to_span(spark, sf_dir):
     return fold_spans(_trace_events(table(spark, sf_dir, "events"))).drop("tool").withColumn("events", F.array_join("events", ","))
 
 
+@contextmanager
+def _state_provider(spark):
+    """The state store that the span stream needs, for as long as the query runs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @register("trace_stream", _SPANS_SQL)
 def _trace_stream(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     out, marks = new_path(spark, "spans"), new_path(spark, "spans-state")
-    stream = stream_spans(_trace_events(rows)).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    stream.awaitTermination()
+    with _state_provider(spark):
+        stream = stream_spans(_trace_events(rows)).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        stream.awaitTermination()
     return spark.read.parquet(out).drop("tool").withColumn("events", F.array_join("events", ","))
 
 
-@register("cache_replay")
+#: The log of one cache in order, its entries as a list from least to most recently used, one step a row.
+_REPLAY_SQL = """WITH RECURSIVE ops AS (SELECT CAST(user_id AS VARCHAR) AS cache, event_id AS seq, CASE event_type WHEN 'view' THEN 'get' WHEN 'click' THEN 'set' WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'has' ELSE 'set' END AS op,
+    CAST(event_id % 5 AS VARCHAR) AS key, CAST(value AS VARCHAR) AS value, epoch_us(ts) // 1000 AS moment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
+steps AS (
+    SELECT cache, 0::BIGINT AS nth, NULL::BIGINT AS seq, '' AS op, '' AS key, CAST(NULL AS VARCHAR) AS result, CAST([] AS STRUCT(k VARCHAR, v VARCHAR, e BIGINT)[]) AS held FROM (SELECT DISTINCT cache FROM ops)
+    UNION ALL
+    SELECT cache, nth, seq, op, key,
+        CASE op WHEN 'get' THEN hit[1].v WHEN 'has' THEN CASE WHEN len(hit) > 0 THEN 'true' ELSE 'false' END END,
+        CASE op WHEN 'get' THEN others || hit WHEN 'has' THEN CASE WHEN len(hit) > 0 THEN held ELSE others END WHEN 'delete' THEN others
+            ELSE list_slice(others || [{'k': key, 'v': value, 'e': moment + 3600000}], greatest(1, len(others) - 1), len(others) + 1) END
+    FROM (SELECT o.*, s.held, list_filter(s.held, lambda x: x.k <> o.key) AS others, list_filter(s.held, lambda x: x.k = o.key AND x.e > o.moment) AS hit FROM steps s JOIN ops o ON o.cache = s.cache AND o.nth = s.nth + 1)
+)
+SELECT cache, seq, op, key, result FROM steps WHERE nth > 0"""
+
+
+@register("cache_replay", _REPLAY_SQL)
 def _cache_replay(spark, sf_dir):
     op = F.when(F.col("event_type") == "view", "get").when(F.col("event_type") == "click", "set").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "has").otherwise("set")
     ops = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("cache"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("event_id") % 5).cast("string").alias("key"), F.col("value").cast("string").alias("value"), F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("at_ms"))
@@ -154,9 +146,69 @@ def _tool_callers(spark, sf_dir):
     return _runtime(spark, sf_dir).execute_tool("codegraph_callers", {"symbol": "s:3"}).select("id", "name", "file", "depth", "confidence")
 
 
-@register("tool_impact", f"{impact_sql('o:42', 'src', 'dst', 1)} SELECT depth, count(*) AS n FROM reached GROUP BY depth")
+@register("tool_callees", f"{impact_sql('o:42', 'src', 'dst', 1)} SELECT id, name, path AS file, depth, round(confidence, 2) AS confidence FROM reached JOIN nodes USING (id) ORDER BY reached.confidence DESC, id LIMIT 3")
+def _tool_callees(spark, sf_dir):
+    return _runtime(spark, sf_dir).execute_tool("codegraph_callees", {"symbol": "o:42", "limit": 3}).select("id", "name", "file", "depth", "confidence")
+
+
+#: A walk from a region over everything that calls into it, and one that the cap cuts.
+def _impact_rows(found):
+    nodes = F.transform("nodes", lambda n: F.concat_ws(":", n["id"], n["confidence"].cast("string"), F.coalesce(n["file"], n["path"])))
+    return found.select("depth", F.array_join(nodes, ",").alias("nodes"), "truncated")
+
+
+_IMPACT_ROWS = "SELECT depth, string_agg(id || ':' || round(r.confidence, 2) || ':' || path, ',' ORDER BY round(r.confidence, 2) DESC, id) AS nodes"
+
+
+@register("tool_impact", f"{impact_sql('n:2', 'dst', 'src', 5, 0.6)} {_IMPACT_ROWS}, FALSE AS truncated FROM reached r JOIN nodes USING (id) GROUP BY depth")
 def _tool_impact(spark, sf_dir):
-    return _runtime(spark, sf_dir).execute_tool("codegraph_callees", {"symbol": "o:42"}).groupBy("depth").agg(F.count("*").alias("n"))
+    return _impact_rows(_runtime(spark, sf_dir).execute_tool("codegraph_impact", {"symbol": "n:2", "maxNodes": 10**9, "minConfidence": 0.6}))
+
+
+@register("tool_impact_truncated", f"{impact_sql('r:0', 'dst', 'src', 3)}, few AS (SELECT * FROM reached ORDER BY depth, confidence DESC, id LIMIT 40) {_IMPACT_ROWS}, TRUE AS truncated FROM few r JOIN nodes USING (id) GROUP BY depth")
+def _tool_impact_truncated(spark, sf_dir):
+    return _impact_rows(_runtime(spark, sf_dir).execute_tool("codegraph_impact", {"symbol": "r:0", "maxNodes": 40, "maxDepth": 3}))
+
+
+@register("tool_affected", f"{impact_sql('n:2', 'dst', 'src', 2)} SELECT r.id, name, path AS file, depth, round(r.confidence, 2) AS confidence FROM reached r JOIN nodes n USING (id) WHERE regexp_matches(lower(n.path), '(\\.test\\.|\\.spec\\.|_test\\.|_spec\\.|/tests?/|/__tests__/)')")
+def _tool_affected(spark, sf_dir):
+    return _runtime(spark, sf_dir).execute_tool("codegraph_affected", {"symbol": "n:2", "maxDepth": 2, "maxNodes": 10**9}).select("id", "name", "file", "depth", "confidence")
+
+
+@register("tool_find_definition", f"{GRAPH_SQL} SELECT id, kind, name, symbol_kind AS \"symbolKind\", path AS file, start_line AS \"startLine\", end_line AS \"endLine\" FROM nodes WHERE kind = 'symbol' AND name = 'small ring'")
+def _tool_find_definition(spark, sf_dir):
+    return _runtime(spark, sf_dir).execute_tool("codegraph_find_definition", {"name": "small ring"}).drop("path", "language")
+
+
+_FIRST = "SELECT n.id, name, path AS file, min(e.ord) AS place FROM edges e JOIN nodes n ON n.id = e.src WHERE e.kind = 'references' AND e.dst IN (SELECT id FROM nodes WHERE kind = 'symbol' AND name = 'red widget') GROUP BY n.id, name, path ORDER BY place"
+
+
+@register("tool_find_references", f"{GRAPH_SQL}, found AS ({_FIRST} LIMIT 25) SELECT id, name, file FROM found")
+def _tool_find_references(spark, sf_dir):
+    return _runtime(spark, sf_dir).execute_tool("codegraph_find_references", {"symbol": "red widget"}).select("id", "name", "file")
+
+
+@register("tool_negative_limit", f"{GRAPH_SQL}, found AS ({_FIRST}) SELECT id, name, file FROM found ORDER BY place LIMIT (SELECT greatest(0, count(*) - 5) FROM found)")
+def _tool_negative_limit(spark, sf_dir):
+    return _runtime(spark, sf_dir).execute_tool("codegraph_find_references", {"symbol": "red widget", "limit": -5}).select("id", "name", "file")
+
+
+@register("tool_neighbors", f"{GRAPH_SQL} SELECT id, n.kind, CASE WHEN n.kind = 'symbol' THEN path END AS file, CASE WHEN n.kind = 'file' THEN path END AS path, language FROM (SELECT src AS id, min(ord) AS place FROM edges WHERE dst = 'n:4' AND kind IN ('calls', 'imports') GROUP BY src ORDER BY place LIMIT 4) JOIN nodes n USING (id)")
+def _tool_neighbors(spark, sf_dir):
+    found = _runtime(spark, sf_dir).execute_tool("codegraph_neighbors", {"id": "n:4", "direction": "incoming", "edgeKinds": ["calls", "imports"], "limit": 4})
+    return found.select("id", "kind", "file", "path", "language")
+
+
+@register("tool_file_summary", f"{GRAPH_SQL} SELECT 'n:3' AS file_id, 'geo/NATION_3' AS path, count(*) FILTER (WHERE kind = 'contains') AS symbols, count(*) FILTER (WHERE kind = 'imports') AS imports FROM edges WHERE src = 'n:3'")
+def _tool_file_summary(spark, sf_dir):
+    found = _runtime(spark, sf_dir).execute_tool("codegraph_file_summary", {"path": "geo/NATION_3"})
+    return found.select("file_id", "path", F.size("symbols").cast("long").alias("symbols"), F.size("imports").cast("long").alias("imports"))
+
+
+@register("tool_relevant_context", f"{pagerank_sql(SEEDS_SQL, ITERATIONS)} SELECT id, name, round(score, 10) AS score FROM k{ITERATIONS} JOIN nodes USING (id) WHERE kind = 'symbol' ORDER BY k{ITERATIONS}.score DESC, id LIMIT 7")
+def _tool_relevant_context(spark, sf_dir):
+    found = _runtime(spark, sf_dir).execute_tool("codegraph_relevant_context", {"seeds": SEEDS, "kind": "symbol", "limit": 7})
+    return found.select("id", "name", F.round("score", 10).alias("score"))
 
 
 @register("tool_search_symbols", f"{GRAPH_SQL} SELECT id, name, symbol_kind AS \"symbolKind\", path AS file, start_line AS \"startLine\" FROM nodes WHERE symbol_kind = 'interface' AND contains(lower(name), '00') ORDER BY ord LIMIT 7")

@@ -13,6 +13,7 @@ from types import MappingProxyType
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.errors import ToolkitError
 from lodestone.functions.validate import validate_input
@@ -278,17 +279,35 @@ class MemoryCache:
 def replay_cache(ops: DataFrame, max_size: int | None = None, ttl_ms: float | None = None) -> DataFrame:
     """What each operation of a log ``ops(cache, seq, op, key, value, at_ms)`` finds: rows (cache, seq, op, key, result).
 
-    One cache's log is replayed in order by one task; its state is bounded by ``max_size``.
+    A cache's log is one sequence, so one task replays it, in order and batch by batch: rows are sorted by Spark, which
+    spills, and a task holds one cache's entries, at most ``max_size``, and one batch.
     """
-    import pandas as pd
-
-    def replay(log: pd.DataFrame) -> pd.DataFrame:
-        now = [0.0]
-        cache, out = MemoryCache(max_size, ttl_ms, lambda: now[0]), []
-        for r in log.sort_values("seq").itertuples():
-            now[0] = r.at_ms
-            found = {"get": lambda: cache.get(r.key), "has": lambda: str(cache.has(r.key)).lower(), "set": lambda: cache.set(r.key, r.value), "delete": lambda: cache.delete(r.key), "clear": cache.clear}[r.op]()
-            out.append((r.cache, r.seq, r.op, r.key, found))
-        return pd.DataFrame(out, columns=["cache", "seq", "op", "key", "result"])
-
-    return ops.groupBy("cache").applyInPandas(replay, "cache string, seq long, op string, key string, result string")
+    import pyarrow as pa
+
+    def run(batches):
+        now, name, cache = [0.0], None, None
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                if cache is None or r["cache"] != name:
+                    name, cache = r["cache"], MemoryCache(max_size, ttl_ms, lambda: now[0])
+                now[0] = r["at_ms"]
+                op, key, result = r["op"], r["key"], None
+                if op == "get":
+                    result = cache.get(key)
+                elif op == "has":
+                    result = str(cache.has(key)).lower()
+                elif op == "set":
+                    cache.set(key, r["value"])
+                elif op == "delete":
+                    cache.delete(key)
+                elif op == "clear":
+                    cache.clear()
+                else:
+                    raise ValueError(f"no such operation: {op}")
+                found.append(result)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cache", "seq", "op", "key")), pa.array(found, pa.string())], ["cache", "seq", "op", "key", "result"])
+
+    rows = ops.select(*(F.col(c).cast(t).alias(c) for c, t in (("cache", "string"), ("seq", "long"), ("op", "string"), ("key", "string"), ("value", "string"), ("at_ms", "double"))))
+    ordered = rows.repartition("cache").sortWithinPartitions("cache", "seq")
+    return ordered.mapInArrow(run, "cache string, seq long, op string, key string, result string")

@@ -4,12 +4,12 @@ from lodestone.errors import ToolkitError
 from lodestone.operators.store import build_code_graph
 
 SAMPLE = {
-    "App.java": "public class App {\n    int execute() {\n        return combine(3);\n    }\n\n    int combine(int x) {\n        return x + 1;\n    }\n}\n",
-    "Service.cs": "namespace Demo\n{\n    public class Service\n    {\n        public int Compute(int x)\n        {\n            return Helper(x) + 1;\n        }\n\n        private int Helper(int x)\n        {\n            return x * 2;\n        }\n    }\n}\n",
-    "app.py": 'def greet(name):\n    return "hi " + name\n\n\nclass Greeter:\n    def hello(self):\n        return greet("world")\n',
-    "lib.rs": "fn rust_helper(x: i32) -> i32 {\n    x + 1\n}\n\npub fn rust_main() -> i32 {\n    rust_helper(41)\n}\n\nstruct Gadget;\n",
-    "main.ts": "import { helper, Widget } from './util'\n\nexport function run(): number {\n  const w = new Widget()\n  w.render()\n  return helper(41)\n}\n",
-    "util.ts": "export function helper(x: number): number {\n  return x + 1\n}\n\nexport class Widget {\n  render(): string {\n    return 'widget'\n  }\n}\n",
+    "Till.java": "public class Till {\n    int close() {\n        return count(12);\n    }\n\n    int count(int coins) {\n        return coins * 2;\n    }\n}\n",
+    "Ledger.cs": "namespace Books\n{\n    public class Ledger\n    {\n        public int Post(int amount)\n        {\n            return Rounded(amount) - 1;\n        }\n\n        private int Rounded(int amount)\n        {\n            return amount / 5;\n        }\n    }\n}\n",
+    "mail.py": 'def signed(text):\n    return text + " - the shop"\n\n\nclass Letter:\n    def body(self):\n        return signed("dear all")\n',
+    "scale.rs": "fn grams(x: i32) -> i32 {\n    x * 1000\n}\n\npub fn weigh() -> i32 {\n    grams(2)\n}\n\nstruct Pan;\n",
+    "desk.ts": "import { price, Label } from './stock'\n\nexport function sell(): number {\n  const tag = new Label()\n  tag.print()\n  return price(3)\n}\n",
+    "stock.ts": "export function price(n: number): number {\n  return n * 7\n}\n\nexport class Label {\n  print(): string {\n    return 'seven'\n  }\n}\n",
 }
 
 
@@ -37,19 +37,19 @@ def test_sample_tree(spark, tmp_path):
     graph = build(spark, tmp_path, SAMPLE)
     symbols = {(r.path, r.name): (r.symbol_kind, r.start_line, r.end_line) for r in graph.symbols().collect()}
     assert symbols == {
-        ("App.java", "App"): ("class", 1, 9), ("App.java", "execute"): ("method", 2, 4), ("App.java", "combine"): ("method", 6, 8),
-        ("Service.cs", "Service"): ("class", 3, 14), ("Service.cs", "Compute"): ("method", 5, 8), ("Service.cs", "Helper"): ("method", 10, 13),
-        ("app.py", "greet"): ("function", 1, 2), ("app.py", "hello"): ("function", 6, 7), ("app.py", "Greeter"): ("class", 5, 7),
-        ("lib.rs", "rust_helper"): ("function", 1, 3), ("lib.rs", "rust_main"): ("function", 5, 7), ("lib.rs", "Gadget"): ("class", 9, 9),
-        ("main.ts", "run"): ("function", 3, 7), ("util.ts", "helper"): ("function", 1, 3), ("util.ts", "Widget"): ("class", 5, 9), ("util.ts", "render"): ("method", 6, 8),
+        ("Till.java", "Till"): ("class", 1, 9), ("Till.java", "close"): ("method", 2, 4), ("Till.java", "count"): ("method", 6, 8),
+        ("Ledger.cs", "Ledger"): ("class", 3, 14), ("Ledger.cs", "Post"): ("method", 5, 8), ("Ledger.cs", "Rounded"): ("method", 10, 13),
+        ("mail.py", "signed"): ("function", 1, 2), ("mail.py", "body"): ("function", 6, 7), ("mail.py", "Letter"): ("class", 5, 7),
+        ("scale.rs", "grams"): ("function", 1, 3), ("scale.rs", "weigh"): ("function", 5, 7), ("scale.rs", "Pan"): ("class", 9, 9),
+        ("desk.ts", "sell"): ("function", 3, 7), ("stock.ts", "price"): ("function", 1, 3), ("stock.ts", "Label"): ("class", 5, 9), ("stock.ts", "print"): ("method", 6, 8),
     }
     assert calls(graph) == {
-        ("execute", "combine"): (1.0, "call", 3, None), ("Compute", "Helper"): (1.0, "call", 7, None), ("hello", "greet"): (1.0, "call", 7, None), ("rust_main", "rust_helper"): (1.0, "call", 6, None),
-        ("run", "Widget"): (0.8, "new", 4, None), ("run", "render"): (0.8, "call", 5, "Widget"), ("run", "helper"): (0.8, "call", 6, None),
+        ("close", "count"): (1.0, "call", 3, None), ("Post", "Rounded"): (1.0, "call", 7, None), ("body", "signed"): (1.0, "call", 7, None), ("weigh", "grams"): (1.0, "call", 6, None),
+        ("sell", "Label"): (0.8, "new", 4, None), ("sell", "print"): (0.8, "call", 5, "Label"), ("sell", "price"): (0.8, "call", 6, None),
     }
     kinds = {r.kind: r["count"] for r in graph.edges().groupBy("kind").count().collect()}
     assert kinds == {"contains": 16, "imports": 1, "references": 7, "calls": 7} and graph.nodes().count() == 22
-    assert [(r.src, r.dst) for r in graph.edges().where("kind = 'imports'").collect()] == [("file:main.ts", "file:util.ts")]
+    assert [(r.src, r.dst) for r in graph.edges().where("kind = 'imports'").collect()] == [("file:desk.ts", "file:stock.ts")]
 
 
 @pytest.mark.parametrize(
@@ -115,3 +115,24 @@ def test_python_package_imports(spark, tmp_path):
     found = {(r.src, r.dst) for r in graph.edges().where("kind = 'imports'").collect()}
     assert found == {("file:pkg/__init__.py", "file:pkg/core.py"), ("file:run.py", "file:pkg/core.py"), ("file:run.py", "file:pkg/__init__.py")}
     assert calls(graph)[("run.py", "core")][0] == 0.8
+
+
+def test_candidates_as_expressions(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lodestone.operators.build import candidates_column, import_candidates
+
+    draw, cases = random.Random(2), []
+    for _ in range(600):
+        path = "/".join(draw.choice(("a", "b", "lib", "src")) for _ in range(draw.randint(0, 3)))
+        path = f"{path}/x.ts" if path else "x.ts"
+        raw = draw.choice(("./", "../", "../../", "../../../", "", ".", "..")) + "/".join(draw.choice(("m", "n", "..", ".", "o.p")) for _ in range(draw.randint(0, 3))) + draw.choice(("", "", "/"))
+        cases.append(("esm-relative", path, raw))
+        cases.append(("python", path, "." * draw.randint(0, 4) + ".".join(draw.choice("mno") for _ in range(draw.randint(0, 3)))))
+    cases.append(("none", "a.go", "fmt"))
+    frame = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, style string, path string, raw string")
+    found = {r.k: r.c for r in frame.select("k", candidates_column(F.col("style"), F.col("path"), F.col("raw")).alias("c")).collect()}
+    for k, case in enumerate(cases):
+        assert (found[k] or []) == import_candidates(*case), case

@@ -154,3 +154,15 @@ def test_tables(spark):
     rows = [("a.py", b"def f(): g()", 1), ("b.md", b"x", 2), ("c.ts", None, 3), ("d.rs", b"\xff fn x() {}", 4)]
     found = {r.path: r for r in parse_files(spark.createDataFrame(rows, "path string, content binary, definitions int")).collect()}
     assert found["b.md"].facts is None and found["c.ts"].facts.definitions == [] and found["d.rs"].facts.definitions[0].name == "x" and found["a.py"].definitions == 1
+
+
+def test_lists_of_any_length():
+    names = ", ".join(f"name{k}" for k in range(3000))
+    defs, refs, imports, _ = found("typescript", f"import {{ {names} }} from './many'\nexport {{ {names} }} from './out'\nimport type {{ T }} from './t'\nexport {{ name1 }}\nfoo('x')\n")
+    assert imports == ["./many", "./t", "./out"]
+    arguments = ", ".join(f"A{k}<B{k}>" for k in range(400))
+    _, refs, _, _ = found("typescript", f"function f() {{ make<{arguments}>(1); a < b; c(2) }}")
+    assert {("make", None, False), ("c", None, False)} <= refs
+    flat = "const flags = [" + ", ".join(f"a{k} < b{k}" for k in range(20_000)) + "]\nfunction g() { done() }"
+    defs, refs, _, _ = found("typescript", flat)  # one pass, however many comparisons
+    assert ("g", "function", 2, 2) in defs and ("done", None, False) in refs
