@@ -2,6 +2,7 @@ import math
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm import sharding
 from lodestone.llm.sharding import Tree
@@ -27,20 +28,51 @@ def brute(tree, key):
     own, found, size = mixed((key & mask) + golden & mask), [], tree.slots * tree.racks
     for region in range(-(-len(tree.weights) // size)):
         live = [tree.weights[k] if k < len(tree.weights) else 0 for k in range(region * size, region * size + size)]
+        room = tree.capacities(region * size + size)[region * size :]
+        of_rack = [sum(room[r * tree.slots : (r + 1) * tree.slots]) for r in range(tree.racks)]
         clock, attempt = 0.0, 0
         while any(live):
-            clock -= math.log(draw(region, attempt, 0)) / (size * tree.capacity)
-            rack = min(range(tree.racks), key=lambda c: -math.log(draw(region, attempt, 1, c)))
-            slot = min(range(tree.slots), key=lambda c: -math.log(draw(region, attempt, 2, rack, c)))
-            if draw(region, attempt, 3) * tree.capacity < live[rack * tree.slots + slot]:
-                found.append((clock, region * size + rack * tree.slots + slot))
+            clock -= math.log(draw(region, attempt, 0)) / sum(room)
+            rack = min(range(tree.racks), key=lambda c: -math.log(draw(region, attempt, 1, c)) / of_rack[c])
+            slot = min(range(tree.slots), key=lambda c: -math.log(draw(region, attempt, 2, rack, c)) / room[rack * tree.slots + c])
+            leaf = rack * tree.slots + slot
+            if draw(region, attempt, 3) * room[leaf] < live[leaf]:
+                found.append((clock, region * size + leaf))
                 break
             attempt += 1
     return min(found)[1]
 
 
+#: Slots, and so racks and regions, of unlike capacity; the draws at each level are weighted by them.
+UNEVEN = Tree((3.0, 0.5, 1.0, 0.0, 8.0, 1.0) * 4, capacity=(4.0, 0.5, 1.0, 2.0, 8.0, 1.0) * 4 + (1.0,))
+
+
+def test_uneven_trees_share_by_weight_and_confine_movement():
+    counts = np.bincount(UNEVEN.shard(KEYS), minlength=24)
+    assert all(abs(c / len(KEYS) - w / sum(UNEVEN.weights)) < 0.02 for c, w in zip(counts, UNEVEN.weights))
+    changed = Tree((*UNEVEN.weights[:4], 2.0, *UNEVEN.weights[5:]), capacity=UNEVEN.capacity)
+    before, after = UNEVEN.shard(KEYS), changed.shard(KEYS)
+    assert set(before[before != after].tolist()) == {4}
+    grown = UNEVEN.grown().shard(KEYS)
+    assert set(grown[grown != before].tolist()) == {24}
+
+
+def test_copies_of_a_row_are_dealt_to_many_chunks(spark):
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit(1).alias("copy"))
+    found = sharding.placed(docs, Tree.even(40), chunk_rows=10)
+    assert sorted(r.slot for r in found.collect()) == list(range(20_000)) and found.select("shard").distinct().count() == 1
+    keys = np.array([5, 7, 5, 5, 7]), np.array([1, 1, 1, 2, 1])
+    assert sharding._nth_copy(*keys).tolist() == [0, 0, 1, 0, 1]
+
+
+def test_ids_of_text(spark):
+    docs = spark.createDataFrame([(f"id{k}", "t") for k in range(500)] + [(None, "t"), (None, None)], "doc_id string, text string")
+    found = sharding.placed(docs, Tree.even(40)).collect()
+    assert len(found) == 502 and len({r.shard for r in found}) == 40 and all(r.grown_shard in (r.shard, 40) for r in found)
+
+
 def test_same_as_plain_descent():
-    for tree in (Tree.even(40), Tree((0.5, 1.0, 0.25, 0.0, 1.0)), Tree.even(1)):
+    for tree in (Tree.even(40), Tree((0.5, 1.0, 0.25, 0.0, 1.0)), Tree.even(1), UNEVEN):
         assert tree.shard(KEYS[::40]).tolist() == [brute(tree, int(k)) for k in KEYS[::40]]
 
 
