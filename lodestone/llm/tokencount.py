@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.staging import file_system
 
-from .common import new_path, slices, staged
+from .common import new_path, slices, staged, type_of
 from .pretrained import Pretrained, version_digest
 
 TOKENIZER, LIMIT = "word_bpe_49k.json", 2048
@@ -60,13 +60,14 @@ def count_tokens(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
     cost one encoding however many they are, and only digests of them are shuffled. Texts travel once, by id, to
     meet the first id of each missing content, by a merge join at every size. Ids that are null or repeat may bring a few more rows to encode and change no
     count. Appending is one committed write; a job that dies before it leaves the cache as it was. Two writers may both
-    append a content: their counts are equal and reading takes one.
+    append a content: their counts are equal and reading takes one. doc_id has the id's own type, other columns are not
+    read. A very long text is counted whole. An empty table gives an empty result and leaves the cache as it was.
     """
     spark = docs.sparkSession
     version = version_digest(tokenizer)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sized = rows.select("id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    keyed = staged(sized.mapInArrow(_keys(tokenizer), "id long, n_bytes long, digest binary"), "digests")
+    keyed = staged(sized.mapInArrow(_keys(tokenizer), f"id {type_of(docs, id_col)}, n_bytes long, digest binary"), "digests")
 
     def stored():
         return open_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))

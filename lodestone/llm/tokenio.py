@@ -133,12 +133,17 @@ def _write(folder: str, name: str, end_id: int | None, file_ids: int):
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int | None = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of ``docs`` to files under ``folder`` in ascending id order; the manifest (MANIFEST) comes back.
 
-    Null ids come first; rows of one id are in order of text. A null text is empty. Range partitions hold consecutive
-    ids, and files are numbered by (part, nth). The manifest is a written table in the same folder and names the files
-    of the task attempts that were kept, so retried and speculative tasks leave at most files that nobody reads.
+    Null ids come first. Rows of one id follow each other in no stated order: where they are many, or null ids are, they
+    are dealt to several range partitions by their place in the input, so no id gathers in one task. A null text is
+    empty. Range partitions hold consecutive ids, and files are numbered by (part, nth). The manifest is a written table
+    in the same folder and names the files of the task attempts that were kept, so retried and speculative tasks leave at
+    most files that nobody reads. Ids are whole numbers; other columns are not read. A very long text is encoded whole and
+    makes a longer file. An empty table writes no file and gives an empty manifest.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    first = F.col("id").asc_nulls_first()
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(first, F.col("place"))
+    ordered = dealt.sortWithinPartitions(first, F.col("text").asc_nulls_first()).drop("place")
     return staged(ordered.mapInArrow(_write(folder, tokenizer, end_id, file_ids), MANIFEST), "manifest")
 
 
@@ -160,11 +165,14 @@ def _read(folder: str):
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) of the documents in the files that ``manifest`` names.
 
-    start is the number of ids in all documents before. Offsets of files are summed over the manifest, one small row a
-    file; a task reads whole files, each of bounded size.
+    start is the number of ids in all documents before. Offsets are summed over the files of each writer's task, and over
+    the tasks; a task reads whole files, each of bounded size but for a longer document. An empty manifest gives an
+    empty result.
     """
-    before = W.orderBy("part", "nth").rowsBetween(W.unboundedPreceding, -1)
-    placed = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
+    own = W.partitionBy("part").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # over one row a task of the writer
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids")).withColumn("base", F.coalesce(F.sum("ids").over(earlier), F.lit(0))).select("part", "base")
+    placed = manifest.withColumn("within", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(parts, "part").withColumn("start", (F.col("base") + F.col("within")).cast("long"))
     tasks = max(1, min(manifest.count(), 1 << 14))
     return placed.select("path", "start").repartition(tasks).mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
