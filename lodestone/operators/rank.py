@@ -39,19 +39,16 @@ def _kernel(n: int, src: np.ndarray, dst: np.ndarray, teleport: np.ndarray, iter
     return rank
 
 
-def _small(nodes: DataFrame, links: DataFrame, seeds: DataFrame, many: int, iterations: int, tolerance: float) -> DataFrame:
-    """All rounds in one kernel on the driver. Only numbers reach it, 8 bytes a link; ids stay in Spark."""
-    known = staged(numbered(nodes.select("id"), "n"), "numbered")
-    ends = [known.select(F.col("id").alias(c), F.col("n").cast("int").alias(f"{c}_n")) for c in ("src", "dst")]
-    table = links.join(ends[0], "src").join(ends[1], "dst").select("src_n", "dst_n").toArrow()
-    src, dst = (table[c].to_numpy() for c in ("src_n", "dst_n"))
-    chosen = known.join(seeds, "id", "left_semi").select("n").toArrow()["n"].to_numpy()
-    teleport = np.zeros(many)
+def _small(links: DataFrame, seeds: DataFrame, n: int, iterations: int, tolerance: float) -> DataFrame:
+    """All rounds in one kernel on the driver. Only numbers reach it, 8 bytes a link."""
+    table = links.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")).toArrow()
+    src, dst = (table[c].to_numpy() for c in ("src", "dst"))
+    chosen = seeds.toArrow()["id"].to_numpy()
+    teleport = np.zeros(n)
     teleport[chosen] = 1
-    teleport = teleport / teleport.sum() if len(chosen) else np.full(many, 1 / many)
-    rank = _kernel(many, src, dst, teleport, iterations, tolerance)
-    scores = nodes.sparkSession.createDataFrame(pa.table({"n": np.arange(many), "score": rank}), "n long, score double")
-    return known.join(scores, "n").select("id", "score")
+    teleport = teleport / teleport.sum() if len(chosen) else np.full(n, 1 / n)
+    rank = _kernel(n, src, dst, teleport, iterations, tolerance)
+    return links.sparkSession.createDataFrame(pa.table({"id": np.arange(n), "score": rank}), "id long, score double")
 
 
 def _large(nodes: DataFrame, links: DataFrame, seeds: DataFrame, n: int, iterations: int, tolerance: float) -> DataFrame:
@@ -85,15 +82,18 @@ def pagerank(graph, seeds: list[str] | DataFrame | None = None, limit: int | Non
     once a round moves less than ``tolerance``. Up to ``kernel_links`` links (a counted size) one numpy kernel does all
     rounds; beyond it each round is a join and an aggregation.
     """
-    nodes, edges = graph.nodes().select("id"), graph.edges()
-    ends = [nodes.withColumnRenamed("id", c) for c in ("src", "dst")]
-    links = staged(edges.select("src", "dst").join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi"), "links")
-    found = resolve_seeds(graph, [] if seeds is None else seeds)
-    n, many = nodes.count(), links.count()
+    known = numbered(graph.nodes().select("id"), "n")
+    ends = [known.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n")) for c in ("src", "dst")]
+    # the joins that number the ends also drop links without a node; all rounds are over numbers
+    links = graph.edges().select("src", "dst").join(ends[0], "src").join(ends[1], "dst")
+    links = staged(links.select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst")), "links")
+    found = known.join(resolve_seeds(graph, [] if seeds is None else seeds), "id", "left_semi").select(F.col("n").alias("id"))
+    n, many = known.count(), links.count()
     if n == 0:
         return graph.nodes().withColumn("score", F.lit(0.0))
     small = many <= kernel_links and n <= kernel_links
-    scores = _small(nodes, links, found, n, iterations, tolerance) if small else _large(nodes, links, found, n, iterations, tolerance)
+    scores = _small(links, found, n, iterations, tolerance) if small else _large(known.select(F.col("n").alias("id")), links, found, n, iterations, tolerance)
+    scores = known.join(scores.withColumnRenamed("id", "n"), "n").select("id", "score")
     ranked = graph.nodes().join(scores, "id")
     if kind:
         ranked = ranked.where(F.col("kind") == kind)
