@@ -188,14 +188,27 @@ def test_debouncer():
     assert len(runs) == 2
 
 
-def test_watcher(tmp_path):
+@pytest.mark.parametrize("notices", [True, False])
+def test_watcher(tmp_path, monkeypatch, notices):
+    from lodestone.streaming import watch
+
+    listed, plain = [], watch.walk
+    monkeypatch.setattr(watch, "walk", lambda *a, **k: listed.append(1) or plain(*a, **k))
+    if not notices:
+        monkeypatch.setattr(watch.FolderEvents, "_watch", lambda self: (_ for _ in ()).throw(OSError("too many")))
     flushed = threading.Event()
     w = Watcher(str(tmp_path), flushed.set, quiet_ms=20, poll_ms=20)
-    assert w.started
+    assert w.started and (w.events is not None) == notices
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules" / "x.ts").write_text("x")
-    assert not flushed.wait(0.2)
-    (tmp_path / "a.ts").write_text("function a() {}")
+    assert not flushed.wait(0.4)
+    assert (len(listed) <= 3) == notices  # without notices the tree is listed again and again
+    (tmp_path / "deep").mkdir()
+    time.sleep(0.1)
+    (tmp_path / "deep" / "a.ts").write_text("function a() {}")
+    assert flushed.wait(3)
+    flushed.clear()
+    (tmp_path / "deep" / "a.ts").unlink()
     assert flushed.wait(3)
     w.close()
     assert not Watcher(str(tmp_path / "none"), flushed.set).started
