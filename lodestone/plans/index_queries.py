@@ -57,7 +57,8 @@ def _corpus_facts(spark, sf_dir):
     return parse_files(files(spark, sf_dir)).select("path", F.size("facts.definitions").cast("long").alias("definitions"))
 
 
-# The index: documents stand for files, a smaller and changed set of them for the tree at a later time.
+# The index: all documents stand for files. Some came after the first build, some were changed or touched and some were
+# deleted before the second; which, their ids say.
 _STAMP = "doc_id, 'docs/' || doc_id || '.py' AS path"
 _INDEX_SQL = f"""WITH known AS (SELECT {_STAMP}, sha1(text) AS hash, CAST(doc_id AS DOUBLE) AS mtime, CAST(length(text) AS BIGINT) AS size FROM documents WHERE doc_id % 7 <> 0),
 listed AS (SELECT {_STAMP}, sha1(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS hash, CAST(doc_id + CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS mtime,
@@ -240,16 +241,21 @@ def _tree_builds(spark, sf_dir):
     return spark.createDataFrame(rows, "build int, files long, parsed long, reused long, deleted long, functions long")
 
 
-@register("graph_json", f"{GRAPH_SQL} SELECT kind, count(*) AS n, count(confidence) AS with_confidence, CAST(sum(coalesce(call_count, 0)) AS BIGINT) AS calls FROM edges WHERE kind IN ('contains', 'calls') GROUP BY kind")
+_COUNTED = "kind, count(*) AS n, count(confidence) AS with_confidence, CAST(sum(coalesce(call_count, 0)) AS BIGINT) AS calls"
+
+
+@register("graph_json", f"{GRAPH_SQL}, files AS (SELECT id FROM nodes WHERE kind = 'file') SELECT 'lines' AS form, {_COUNTED} FROM edges GROUP BY kind UNION ALL SELECT 'document', {_COUNTED} FROM edges WHERE src IN (SELECT id FROM files) AND dst IN (SELECT id FROM files) GROUP BY kind")
 def _graph_json(spark, sf_dir):
-    """Written as JSON lines, read, written as one document and read again."""
+    """The whole graph as JSON lines and back; what lies between files, of which there are 30 at every size, as one document
+    and back."""
     path = new_path(spark, "json")
     graph(spark, sf_dir).write_json(path)
     lines = CodeGraph.read_json(spark, path, unique_ids=True)
-    small = CodeGraph(lines.raw_nodes.limit(0), lines.edges().where("kind = 'contains'"), True)
-    again = CodeGraph.from_json(spark, small.to_json(10**7)).edges()
-    both = again.unionByName(lines.edges().where("kind = 'calls'"))
-    return both.groupBy("kind").agg(F.count("*").alias("n"), F.count("confidence").alias("with_confidence"), F.sum(F.coalesce("call_count", F.lit(0))).alias("calls"))
+    ends = [lines.files().select(F.col("id").alias(c)) for c in ("src", "dst")]
+    own = lines.edges().join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi")
+    again = CodeGraph.from_json(spark, CodeGraph(lines.files(), own, True).to_json())
+    both = lines.edges().withColumn("form", F.lit("lines")).unionByName(again.edges().withColumn("form", F.lit("document")))
+    return both.groupBy("form", "kind").agg(F.count("*").alias("n"), F.count("confidence").alias("with_confidence"), F.sum(F.coalesce("call_count", F.lit(0))).alias("calls"))
 
 
 @register("ignored_paths", "SELECT doc_id, list_has_any(string_split(replace(path, chr(92), '/'), '/'), ['node_modules', '.git', '.codegraph', 'dist', 'build', 'out', 'coverage', '.next', '.nuxt', '.turbo', 'vendor', '__pycache__']) AS ignored FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a/node_modules/b.ts' WHEN 1 THEN 'a' || chr(92) || 'dist' || chr(92) || 'x.js' WHEN 2 THEN 'building/out.ts' WHEN 3 THEN source || '/x.py' ELSE 'vendor' END AS path FROM documents)")
